@@ -6,11 +6,11 @@
   sets with the wanted similarity share a shingle among the first fifth of the larger and the first ninth of the smaller
   (prefix filtering holds for any order).  Postings of those prefixes are packed by hash bucket.
 * In a bucket, representatives that share a prefix shingle form tiles, banded by set size: a pair is only looked at when
-  sizes allow the similarity.  Small tiles give all such pairs.  A large tile first gives pairs with the head of each band
-  only; once those are verified and joined to components, a second round gives the pairs of large tiles that lie in
-  different components still, so groups of near copies are not expanded and no connection is lost.
-* Hashed bitmap signatures bound the overlap of a pair from above by bit counts; survivors meet as sorted arrays and are
-  intersected exactly.
+  sizes allow the similarity.  Small tiles give all such pairs.  A large tile first gives pairs with a few heads of each
+  band only; once those are verified and joined to components, a second round looks at all pairs of large tiles that lie
+  in different components still, so groups of near copies are not expanded and no connection is lost.
+* Hashed bitmap signatures bound the overlap of a pair from above by bit counts, in the second round inside the tile;
+  survivors meet as sorted arrays and are intersected exactly.
 
 Cases: texts with fewer than five words have their whole word sequence as one shingle; null, empty and white-space texts
 have an empty set and link with nothing; a row without ``doc_id`` links with nothing and has no component; equal rows
@@ -32,8 +32,8 @@ from .common import written
 from .components import components
 from .shingles import Hashes, runs, split_words
 
-#: Counters of the sketch and of its blocks; tiles above this many members take two rounds; bits of fixed filters.
-CELLS, BLOCK, SMALL, FILTER_BITS = 1 << 20, 1 << 15, 16, 24
+#: Counters of the sketch and of its blocks; tiles above this many members take two rounds, the first with so many heads; bits of a fixed filter.
+CELLS, BLOCK, SMALL, HEADS, FILTER_BITS = 1 << 20, 1 << 15, 16, 8, 24
 
 
 def shingle_set(hashes: Hashes, text: str | None, n: int = 5) -> np.ndarray:
@@ -111,11 +111,14 @@ POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("short",
 
 
 def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> DataFrame:
-    """``bucket, postings``: each task packs the postings of its rows by bucket.  ``prefix`` has a ``component``; ``only`` keeps tokens of that filter."""
+    """``bucket, postings, signatures``: each task packs the postings of its rows by bucket.
+
+    With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along.
+    """
 
     def run(batches):
         keep = None if only is None else np.frombuffer(only, np.uint8)
-        held, size = [], 0
+        held, bits, size = [], [], 0
 
         def flush():
             rows = np.concatenate(held)
@@ -123,39 +126,58 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            parts = np.split(rows, cuts)
-            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "postings"])
+            along = [b"".join([bits[k] for k in part]) for part in np.split(order, cuts)] if bits else [None] * (len(cuts) + 1)
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), pa.array([p.tobytes() for p in np.split(rows, cuts)], pa.binary()), pa.array(along, pa.binary())], ["bucket", "postings", "signatures"])
 
         for b in batches:
-            for doc, n, short, tokens, component in zip(*(b.column(k) for k in ("doc_id", "size", "short", "prefix", "component"))):
-                tokens, short = np.frombuffer(tokens.as_py(), np.uint64), short.as_py()
+            ids, sizes, shorts = (b.column(k).to_numpy() for k in ("doc_id", "size", "short"))
+            for k, tokens in enumerate(b.column("prefix")):
+                tokens = np.frombuffer(tokens.as_py(), np.uint64)
                 rows = np.zeros(len(tokens), dtype=POSTING)
-                rows["token"], rows["id"], rows["size"], rows["component"] = tokens, doc.as_py(), n.as_py(), component.as_py()
-                rows["short"][:short] = 1
+                rows["token"], rows["id"], rows["size"] = tokens, ids[k], sizes[k]
+                rows["short"][: shorts[k]] = 1
                 if keep is not None:
+                    rows["component"] = b.column("component")[k].as_py()
                     rows = rows[keep[_filter_place(tokens)] == 1]
+                    bits += [b.column("signature")[k].as_py()] * len(rows)
                 if len(rows):
                     held.append(rows)
                     size += len(rows)
                 if size > 500_000:
                     yield flush()
-                    held, size = [], 0
+                    held, bits, size = [], [], 0
         if held:
             yield flush()
 
-    return prefix.mapInArrow(run, "bucket long, postings binary")
+    return prefix.mapInArrow(run, "bucket long, postings binary, signatures binary")
+
+
+def holding(prefix: DataFrame, only: bytes) -> DataFrame:
+    """``id`` of the documents with a token of the filter in their prefix."""
+
+    def run(batches):
+        keep = np.frombuffer(only, np.uint8)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(keep[_filter_place(np.frombuffer(t.as_py(), np.uint64))].any()) for t in b.column(1)], pa.bool_()))], ["id"])
+
+    return prefix.select("doc_id", "prefix").mapInArrow(run, "id long")
 
 
 def _filter_place(tokens: np.ndarray) -> np.ndarray:
     return ((tokens >> np.uint64(20)) & np.uint64((1 << 20) - 1)).astype(np.int64)
 
 
-def _tiles(table) -> np.ndarray:
+def _tiles(table):
+    """The postings of a bucket, those of one token together and by size, and their signatures (or None)."""
     rows = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("postings")])
-    # Postings of one token stand together, by size; equal rows come from repeated documents.
-    rows = rows[np.lexsort((rows["id"], rows["size"], rows["token"]))]
-    same = (rows["token"][1:] == rows["token"][:-1]) & (rows["id"][1:] == rows["id"][:-1])
-    return rows[np.concatenate([[True], ~same])]
+    order = np.lexsort((rows["id"], rows["size"], rows["token"]))
+    bits = None
+    if table.column("signatures").null_count == 0:
+        data = np.frombuffer(b"".join(x.as_py() for x in table.column("signatures")), np.uint8)
+        ends = np.cumsum([signature_bytes(n) for n in rows["size"].tolist()])
+        bits = np.split(data, ends[:-1])
+        bits = [bits[k] for k in order]
+    return rows[order], bits
 
 
 def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
@@ -168,7 +190,7 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
 
 def first_round(key, table):
     """Pairs of small tiles, pairs with the band heads of large ones, and a filter of the large tiles' tokens."""
-    rows = _tiles(table)
+    rows, _ = _tiles(table)
     token, size, found = rows["token"], rows["size"].astype(np.int64), []
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
@@ -185,10 +207,14 @@ def first_round(key, table):
         seen[_filter_place(token[start : start + 1])] = 1
         head = start
         while head < start + count:
-            end = start + np.searchsorted(size[start : start + count] * 4, size[head] * 5, side="right")
-            if rows["short"][head] and end > head + 1:
-                found.append((np.full(end - head - 1, rows["id"][head]), rows["id"][head + 1 : end]))
-            head = int(end)
+            end = start + int(np.searchsorted(size[start : start + count] * 4, size[head] * 5, side="right"))
+            band = rows[head:end]
+            # The same few documents lead in all tiles that they are in.
+            for i in np.argsort(band["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:HEADS]:
+                smaller = np.where(np.arange(len(band)) < i, band["short"], band["short"][i])
+                other = np.flatnonzero((smaller == 1) & (np.arange(len(band)) != i))
+                found.append((np.full(len(other), band["id"][i]), band["id"][other]))
+            head = end
     tables = list(_pairs(found))
     if seen.any():
         tables.append(pa.table({"a": pa.nulls(1).cast(pa.int64()), "b": pa.nulls(1).cast(pa.int64()), "large": pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())}))
@@ -196,23 +222,31 @@ def first_round(key, table):
 
 
 def second_round(key, table):
-    """Pairs of large tiles that lie in different components."""
-    rows = _tiles(table)
-    token, size, found = rows["token"], rows["size"].astype(np.int64), []
+    """Pairs of large tiles that lie in different components and whose signatures allow the similarity."""
+    rows, bits = _tiles(table)
+    token, size, found, held = rows["token"], rows["size"].astype(np.int64), [], 0
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
-    held = 0
     for start, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
         tile = rows[start : start + count]
         if (tile["component"] == tile["component"][0]).all():
             continue
         s = size[start : start + count]
         ends = np.searchsorted(s * 4, s * 5, side="right")
+        width = np.array([signature_bytes(n) for n in s])
+        # A band's signatures have at most two sizes; each size as a matrix.
+        stacked = {w: (np.flatnonzero(width == w), np.stack([bits[start + k] for k in np.flatnonzero(width == w)])) for w in np.unique(width)}
         for i in np.flatnonzero(tile["short"] == 1):
-            other = i + 1 + np.flatnonzero(tile["component"][i + 1 : ends[i]] != tile["component"][i])
-            if len(other):
-                found.append((np.full(len(other), tile["id"][i]), tile["id"][other]))
-                held += len(other)
+            for w, (members, matrix) in stacked.items():
+                low, high = np.searchsorted(members, [i + 1, ends[i]])
+                at = low + np.flatnonzero(tile["component"][members[low:high]] != tile["component"][i])
+                for k in range(0, len(at), 4096):
+                    other = members[at[k : k + 4096]]
+                    most = most_shared(bits[start + i], s[i], matrix[at[k : k + 4096]], s[other])
+                    other = other[100 * most >= 80 * (s[i] + s[other] - most)]
+                    if len(other):
+                        found.append((np.full(len(other), tile["id"][i]), tile["id"][other]))
+                        held += len(other)
         if held > 2_000_000:  # fold what tiles have in common
             t = list(_pairs(found))
             found, held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in t], 0
@@ -223,21 +257,29 @@ def second_round(key, table):
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.binary())])
 
 
+def signature_bytes(n: int) -> int:
+    """At least four bits an element, a power of two."""
+    return 1 << max(3, int(4 * n - 1).bit_length() - 3)
+
+
 def signature(s: np.ndarray) -> np.ndarray:
-    """A bitmap with at least two bits an element, its size a power of two."""
-    bits = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    bits = 8 * signature_bytes(len(s))
     out = np.zeros(bits, dtype=np.uint8)
     out[(s & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(out, bitorder="little")
 
 
-def most_shared(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> int:
-    """No more elements than this are in both sets: every bit of one alone stands for an element that the other lacks."""
-    while len(a) > len(b):  # the larger bitmap folds to the size of the smaller
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    return min(n_a - int(np.bitwise_count(a & ~b).sum()), n_b - int(np.bitwise_count(b & ~a).sum()))
+def _folded(a: np.ndarray, width: int) -> np.ndarray:
+    while a.shape[-1] > width:
+        a = a[..., : a.shape[-1] // 2] | a[..., a.shape[-1] // 2 :]
+    return a
+
+
+def most_shared(a: np.ndarray, n_a, b: np.ndarray, n_b):
+    """No more elements than this are in both sets: every bit of one alone stands for an element that the other lacks.  ``b``: one signature or rows of them."""
+    width = min(a.shape[-1], b.shape[-1])
+    a, b = _folded(a, width), _folded(b, width)
+    return np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -270,16 +312,16 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` with at least the similarity 0.8."""
+def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFrame:
+    """The pairs ``a, b`` with at least the similarity 0.8; ``bounded``: signatures are compared first."""
 
-    def bounded(batches):
+    def bound(batches):
         for b in batches:
             keep = []
             for x, y, n, m in zip(*(b.column(k) for k in ("of_a", "of_b", "n_a", "n_b"))):
                 n, m = n.as_py(), m.as_py()
                 most = most_shared(np.frombuffer(x.as_py(), np.uint8), n, np.frombuffer(y.as_py(), np.uint8), m)
-                keep.append(100 * most >= 80 * (n + m - most))
+                keep.append(bool(100 * most >= 80 * (n + m - most)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches):
@@ -294,8 +336,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(name: str, column: str) -> DataFrame:
         return sets.select(F.col("id").alias(name), F.col(column).alias(f"of_{name}"), (F.octet_length("tokens") / 8).cast("long").alias(f"n_{name}"))
 
-    may = pairs.join(side("b", "signature"), "b").join(side("a", "signature"), "a").mapInArrow(bounded, "a long, b long")
-    return may.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").select("a", "b", "of_a", "of_b").mapInArrow(exact, "a long, b long")
+    if bounded:
+        pairs = pairs.join(side("b", "signature"), "b").join(side("a", "signature"), "a").mapInArrow(bound, "a long, b long")
+    return pairs.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").select("a", "b", "of_a", "of_b").mapInArrow(exact, "a long, b long")
 
 
 def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFrame:
@@ -310,7 +353,7 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFr
     postings = prefix.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings * POSTING.itemsize // bucket_bytes) + 1)
     pair_schema = "a long, b long, large binary"
-    first = written(bucketed(prefix.withColumn("component", F.col("doc_id")), buckets).groupBy("bucket").applyInArrow(first_round, pair_schema), "pairs")
+    first = written(bucketed(prefix, buckets).groupBy("bucket").applyInArrow(first_round, pair_schema), "pairs")
     pairs = written(first.filter("large IS NULL").select("a", "b").distinct(), "pairs")
     large = np.zeros((1 << 20) // 8, dtype=np.uint8)
     for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # one bounded row per bucket at a time
@@ -319,13 +362,15 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFr
     links = written(verified(pairs, written(sets_of(docs, of_pairs(pairs), n), "sets")), "links")
     found = components(links)
     if large.any():
+        only = np.unpackbits(large).tobytes()
+        sets = written(sets_of(docs, written(holding(prefix, only), "ids"), n), "sets")
         known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        more = bucketed(known, buckets, np.unpackbits(large).tobytes()).groupBy("bucket").applyInArrow(second_round, pair_schema).select("a", "b").distinct()
+        known = known.join(sets.select(F.col("id").alias("doc_id"), "signature"), "doc_id")
+        more = bucketed(known, buckets, only).groupBy("bucket").applyInArrow(second_round, pair_schema).select("a", "b").distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            again = written(verified(more, written(sets_of(docs, of_pairs(more), n), "sets")), "links")
-            if not again.isEmpty():
-                found = components(links.unionByName(again))
+        again = written(verified(more, sets, bounded=False), "links")
+        if not again.isEmpty():
+            found = components(links.unionByName(again))
     # From representatives to all documents: their class's component.
     classes_ = heads.join(found.select(F.col("id").alias("head"), "component"), "head", "left").select("h1", "h2", "size", F.coalesce("component", "head").alias("component"))
     linked = base.join(classes_, ["h1", "h2", "size"], "left")
