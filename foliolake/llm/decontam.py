@@ -22,29 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import Hashes, runs, split_words
+from .shingles import SPACE, Words, runs
 
 N = 3
-EDGE = b".,;:!?\"'()[]{}*"
-
-
-def bare_words(text: str | None) -> list[bytes]:
-    return [w for w in (x.strip(EDGE) for x in split_words((text or "").encode())) if w]
-
-
-class Words(Hashes):
-    """Hashes of words without the marks around them; 0 for marks alone."""
-
-    def __missing__(self, word: bytes) -> int:
-        bare = word.strip(EDGE)
-        h = super().__missing__(bare) if bare else 0
-        if len(self) < self.most and len(word) <= 64:
-            self[word] = h
-        return h
-
-    def sequence(self, text: bytes) -> np.ndarray:
-        h = self.of(split_words(text))
-        return h[h != 0]
+#: Marks that stand between words like white space, so that punctuation makes no word different.
+BETWEEN = SPACE + b".,;:!?\"'()[]{}*"
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -81,19 +63,14 @@ class Seeds:
         return at[real], number[real]
 
 
-def _texts(column):
-    for t in column:
-        yield (t.as_py() or "").encode()
-
-
 def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
     """In how many documents each seed occurs."""
 
     def run(batches):
-        seeds, words, n = Seeds(hashes), Words(), np.zeros(len(hashes), dtype=np.int64)
+        seeds, words, n = Seeds(hashes), Words(BETWEEN), np.zeros(len(hashes), dtype=np.int64)
         for b in batches:
-            for text in _texts(b.column(0)):
-                sequence = words.sequence(text)
+            for text in b.column(0):
+                sequence = words.of(text.as_py())
                 if len(sequence) >= N:
                     n[np.unique(seeds.hits(runs(sequence, N))[1])] += 1
         at = np.flatnonzero(n)
@@ -121,11 +98,11 @@ def aligned(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: flo
     item_ids, sequences = [i for i, _ in items], [w for _, w in items]
 
     def run(batches):
-        seeds, words = Seeds(rare), Words()
+        seeds, words = Seeds(rare), Words(BETWEEN)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0), _texts(b.column(1))):
-                sequence = words.sequence(text)
+            for doc, text in zip(b.column(0), b.column(1)):
+                sequence = words.of(text.as_py())
                 if len(sequence) < N:
                     continue
                 at, number = seeds.hits(runs(sequence, N))
@@ -154,7 +131,7 @@ def aligned(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: flo
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least_seeds: int = 8, block_seeds: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a test item that it holds: ``doc_id, item_id, score, end_word``."""
-    found, block, size, words = None, [], 0, Words()
+    found, block, size, words = None, [], 0, Words(BETWEEN)
 
     def flush():
         nonlocal found, block, size
@@ -165,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
     # Items come one at a time, a partition at most in memory; scans run block by block.
     for r in benchmark.select("item_id", "text").toLocalIterator():
-        w = words.sequence((r.text or "").encode())
+        w = words.of(r.text)
         if len(w) >= N:
             block.append((r.item_id, w))
             size += len(w)

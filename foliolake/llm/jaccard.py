@@ -30,14 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
-from .shingles import Hashes, runs, split_words
+from .shingles import Words, distinct, runs
 
 #: Counters of the sketch and of its blocks; tiles above this many members take two rounds, the first with so many heads; bits of a fixed filter.
-CELLS, BLOCK, SMALL, HEADS, FILTER_BITS = 1 << 20, 1 << 15, 16, 8, 24
+CELLS, BLOCK, SMALL, HEADS, FILTER_BITS = 1 << 20, 1 << 15, 16, 8, 26
 
 
-def shingle_set(hashes: Hashes, text: str | None, n: int = 5) -> np.ndarray:
-    return np.unique(runs(hashes.of(split_words((text or "").encode())), n))
+def shingle_set(words: Words, text: str | None, n: int = 5) -> np.ndarray:
+    return distinct(runs(words.of(text), n))
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -48,16 +48,24 @@ def summarise(docs: DataFrame, n: int) -> DataFrame:
     """Rows ``doc_id, size, h1, h2`` for documents, and with ``block`` set the sketch of a task."""
 
     def run(batches):
-        hashes, sketch = Hashes(), np.zeros(CELLS, dtype=np.uint32)
+        def count(sets):
+            sketch[:] += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS).astype(np.uint32) if sets else np.uint32(0)
+
+        words, sketch = Words(), np.zeros(CELLS, dtype=np.uint32)
         for b in batches:
-            size, h1, h2 = [], [], []
+            size, h1, h2, held, waiting = [], [], [], [], 0
             for t in b.column(1):
-                s = shingle_set(hashes, t.as_py(), n)
+                s = shingle_set(words, t.as_py(), n)
                 size.append(len(s))
                 digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                 h1.append(int(digest[0]))
                 h2.append(int(digest[1]))
-                np.add.at(sketch, _cell(s), 1)
+                held.append(s)
+                waiting += len(s)
+                if waiting > 200_000:
+                    count(held)
+                    held, waiting = [], 0
+            count(held)
             empty = pa.nulls(len(size))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names)
         for k in range(CELLS // BLOCK):
@@ -90,11 +98,11 @@ def prefixes(docs: DataFrame, classes: bytes, n: int) -> DataFrame:
     """``doc_id, size, short, prefix``: the first tokens of each set in the global order; the first ``short`` of them serve it as the smaller set."""
 
     def run(batches):
-        hashes, rank = Hashes(), np.frombuffer(classes, np.uint8)
+        words, rank = Words(), np.frombuffer(classes, np.uint8)
         for b in batches:
             out = [[], [], [], []]
             for doc, t in zip(b.column(0), b.column(1)):
-                s = shingle_set(hashes, t.as_py(), n)
+                s = shingle_set(words, t.as_py(), n)
                 if len(s):
                     longest = len(s) - -(-4 * len(s) // 5) + 1
                     c = rank[_cell(s)]
@@ -117,7 +125,7 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
     """
 
     def run(batches):
-        keep = None if only is None else np.frombuffer(only, np.uint8)
+        keep = None if only is None else Filter(only)
         held, bits, size = [], [], 0
 
         def flush():
@@ -138,7 +146,7 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
                 rows["short"][: shorts[k]] = 1
                 if keep is not None:
                     rows["component"] = b.column("component")[k].as_py()
-                    rows = rows[keep[_filter_place(tokens)] == 1]
+                    rows = rows[keep.has(tokens)]
                     bits += [b.column("signature")[k].as_py()] * len(rows)
                 if len(rows):
                     held.append(rows)
@@ -156,15 +164,34 @@ def holding(prefix: DataFrame, only: bytes) -> DataFrame:
     """``id`` of the documents with a token of the filter in their prefix."""
 
     def run(batches):
-        keep = np.frombuffer(only, np.uint8)
+        keep = Filter(only)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(keep[_filter_place(np.frombuffer(t.as_py(), np.uint64))].any()) for t in b.column(1)], pa.bool_()))], ["id"])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array([bool(keep.has(np.frombuffer(t.as_py(), np.uint64)).any()) for t in b.column(1)], pa.bool_()))], ["id"])
 
     return prefix.select("doc_id", "prefix").mapInArrow(run, "id long")
 
 
-def _filter_place(tokens: np.ndarray) -> np.ndarray:
-    return ((tokens >> np.uint64(20)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+class Filter:
+    """A set of numbers as 2 ** FILTER_BITS bits: all that were added are found, and few others."""
+
+    def __init__(self, packed: bytes | None = None):
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8) if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
+
+    def add(self, numbers: np.ndarray) -> None:
+        place = self._place(numbers)
+        np.bitwise_or.at(self.bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        place = self._place(numbers)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+    def packed(self) -> bytes:
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    @staticmethod
+    def _place(numbers: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
 def _tiles(table):
@@ -189,7 +216,7 @@ def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
 
 
 def first_round(key, table):
-    """Pairs of small tiles, pairs with the band heads of large ones, and a filter of the large tiles' tokens."""
+    """Pairs of small tiles, pairs with the band heads of large ones, and the large tiles' tokens."""
     rows, _ = _tiles(table)
     token, size, found = rows["token"], rows["size"].astype(np.int64), []
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
@@ -202,9 +229,7 @@ def first_round(key, table):
         if not len(i) or not (token[i] == token[j]).any():
             break
         found.append((rows["id"][i[fit]], rows["id"][j[fit]]))
-    seen = np.zeros(1 << 20, dtype=np.uint8)
     for start, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
-        seen[_filter_place(token[start : start + 1])] = 1
         head = start
         while head < start + count:
             end = start + int(np.searchsorted(size[start : start + count] * 4, size[head] * 5, side="right"))
@@ -216,8 +241,8 @@ def first_round(key, table):
                 found.append((np.full(len(other), band["id"][i]), band["id"][other]))
             head = end
     tables = list(_pairs(found))
-    if seen.any():
-        tables.append(pa.table({"a": pa.nulls(1).cast(pa.int64()), "b": pa.nulls(1).cast(pa.int64()), "large": pa.array([zlib.compress(np.packbits(seen).tobytes(), 1)], pa.binary())}))
+    if (counts > SMALL).any():
+        tables.append(pa.table({"a": pa.nulls(1).cast(pa.int64()), "b": pa.nulls(1).cast(pa.int64()), "large": pa.array([token[starts[counts > SMALL]].tobytes()], pa.binary())}))
     return pa.concat_tables(tables) if tables else PAIRS.empty_table()
 
 
@@ -283,33 +308,30 @@ def most_shared(a: np.ndarray, n_a, b: np.ndarray, n_b):
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, signature, tokens`` of the documents in ``ids`` (one long column, distinct).  A filter of fixed size keeps most other texts from being hashed."""
+    """``id, size, signature, tokens`` of the documents in ``ids`` (one long column) and of few others: a filter of fixed size keeps their texts from being hashed, and no text or set is shuffled for it."""
 
     def mark(batches):
-        bits = np.zeros(1 << FILTER_BITS, dtype=np.uint8)
+        f = Filter()
         for b in batches:
-            bits[b.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)] = 1
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], pa.binary())], ["bits"])
+            f.add(b.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([f.packed()], pa.binary())], ["bits"])
 
-    place = F.col("id").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    joined = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
-    for r in ids.select(place.alias("p")).distinct().repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():  # at most 4 rows of 2 MB
-        joined |= np.frombuffer(zlib.decompress(bytes(r.bits)), np.uint8)
-    packed = docs.sparkSession.sparkContext.broadcast(zlib.compress(joined.tobytes(), 1))
+    wanted = Filter()
+    for r in ids.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():  # at most 4 rows of 8 MB
+        wanted.bits |= Filter(bytes(r.bits)).bits
+    packed = docs.sparkSession.sparkContext.broadcast(wanted.packed())
 
     def run(batches):
-        wanted = np.unpackbits(np.frombuffer(zlib.decompress(packed.value), np.uint8))
-        hashes = Hashes()
+        want, words = Filter(packed.value), Words()
         for b in batches:
-            # Null ids become -1 here; the join below drops what is not wanted.
-            at = np.flatnonzero(wanted[b.column(0).fill_null(-1).to_numpy() & ((1 << FILTER_BITS) - 1)])
+            # A null id is taken for -1, which no join below finds.
+            at = np.flatnonzero(want.has(b.column(0).fill_null(-1).to_numpy()))
             for k in range(0, len(at), 500):
                 rows = b.take(pa.array(at[k : k + 500]))
-                sets = [shingle_set(hashes, t.as_py(), n) for t in rows.column(1)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "signature", "tokens"])
+                sets = [shingle_set(words, t.as_py(), n) for t in rows.column(1)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "size", "signature", "tokens"])
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, signature binary, tokens binary")
-    return sets.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, size long, signature binary, tokens binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFrame:
@@ -334,7 +356,7 @@ def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFra
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col(column).alias(f"of_{name}"), (F.octet_length("tokens") / 8).cast("long").alias(f"n_{name}"))
+        return sets.select(F.col("id").alias(name), F.col(column).alias(f"of_{name}"), F.col("size").alias(f"n_{name}"))
 
     if bounded:
         pairs = pairs.join(side("b", "signature"), "b").join(side("a", "signature"), "a").mapInArrow(bound, "a long, b long")
@@ -355,17 +377,18 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFr
     pair_schema = "a long, b long, large binary"
     first = written(bucketed(prefix, buckets).groupBy("bucket").applyInArrow(first_round, pair_schema), "pairs")
     pairs = written(first.filter("large IS NULL").select("a", "b").distinct(), "pairs")
-    large = np.zeros((1 << 20) // 8, dtype=np.uint8)
-    for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # one bounded row per bucket at a time
-        large |= np.frombuffer(zlib.decompress(bytes(r.large)), np.uint8)
+    large, any_large = Filter(), False
+    for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
+        large.add(np.frombuffer(bytes(r.large), np.uint64))
+        any_large = True
     of_pairs = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
     links = written(verified(pairs, written(sets_of(docs, of_pairs(pairs), n), "sets")), "links")
     found = components(links)
-    if large.any():
-        only = np.unpackbits(large).tobytes()
+    if any_large:
+        only = large.packed()
         sets = written(sets_of(docs, written(holding(prefix, only), "ids"), n), "sets")
         known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        known = known.join(sets.select(F.col("id").alias("doc_id"), "signature"), "doc_id")
+        known = known.join(sets.select(F.col("id").alias("doc_id"), "signature"), "doc_id").dropDuplicates(["doc_id"])
         more = bucketed(known, buckets, only).groupBy("bucket").applyInArrow(second_round, pair_schema).select("a", "b").distinct()
         more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
         again = written(verified(more, sets, bounded=False), "links")

@@ -68,7 +68,9 @@ def scan(history: DataFrame, keys: list[str], rules=RULES, ledger: DataFrame | N
     if known is not None:
         seen = known.groupBy("blob").agg(F.collect_set("kind").alias("seen"))
         once = once.join(seen, "blob", "left").filter(F.size(F.array_except(F.array(*[F.lit(r.kind) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))) > 0)
-    fresh = written(once.select("blob", *[spans(F.col("text"), r).alias(r.kind) for r in rules]), "blobs")
+    found = once.select("blob", *[spans(F.col("text"), r).alias(r.kind) for r in rules])
+    # Repeated rows may have left a blob twice; its findings are the same.
+    fresh = written(found.groupBy("blob").agg(*[F.first(r.kind).alias(r.kind) for r in rules]), "blobs")
     rows = fresh.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("found")) for r in rules])).alias("r")).select("blob", "r.*")
     if known is None:
         findings, new = fresh, rows
@@ -76,8 +78,6 @@ def scan(history: DataFrame, keys: list[str], rules=RULES, ledger: DataFrame | N
         new = rows.join(known.select("blob", "kind"), ["blob", "kind"], "left_anti")
         both = known.select("blob", "kind", "version", "found").unionByName(new)
         findings = both.groupBy("blob").agg(*[F.first(F.when(F.col("kind") == r.kind, F.col("found")), ignorenulls=True).alias(r.kind) for r in rules])
-    # Repeated rows may have left a blob twice; its findings are the same.
-    findings = findings.groupBy("blob").agg(*[F.first(r.kind).alias(r.kind) for r in rules])
     return named.select(*keys, "blob").join(findings, "blob"), new.dropDuplicates(["blob", "kind"])
 
 
