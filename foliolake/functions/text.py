@@ -140,7 +140,7 @@ def split_term_and_refs(c: Column) -> tuple[Column, Column]:
     return F.when(term == "", strip(c)).otherwise(strip(term)), F.regexp_extract(c, pattern, 2)
 
 
-def term_variants(c: Column) -> Column:
+def term_variants(c: Column, prepositions: bool = True) -> Column:
     """The forms under which a term may stand in a text, in order of preference."""
     t = F.lower(strip(strip_tags(c, attributes=True)))
     comma = F.instr(t, ", ") > 0
@@ -150,7 +150,7 @@ def term_variants(c: Column) -> Column:
     base = F.when(separator.isNotNull(), strip(F.element_at(F.split(t, ":|;", 2), 1)))
     words = F.split(t, r"\s+")
     cut = F.lit(None).cast("string")
-    for p in reversed(PREPOSITIONS):
+    for p in reversed(PREPOSITIONS if prepositions else ()):
         at = F.array_position(words, p)
         cut = F.when((at > 1) & (F.size(words) > 2), F.array_join(F.slice(words, F.lit(1), (F.greatest(at, F.lit(1)) - 1).cast("int")), " ")).otherwise(cut)
     forms = F.array(t, F.when(comma, F.concat(rest, F.lit(" "), first)), F.when(comma, first), F.when(bare != t, bare), base, cut)

@@ -71,7 +71,7 @@ def _entries(volume: str, text: str) -> list[tuple]:
             elif re.match(r"\d", line) and current:
                 current[3] = ", ".join(x for x in (current[3].rstrip(", "), line) if x)
                 current[5] += " " + line
-            elif current and out and (previous.endswith((",", ";")) or (re.search(r"\d", previous) is None and previous[-1:].isalpha() and False)):
+            elif current and out and (previous.endswith((",", ";")) or (re.search(r"\d", previous) and previous[-1:].isalpha())):
                 term, refs = split(f"{current[5]} {line}")
                 current[2], current[3], current[5] = term, refs, f"{current[5]} {line}"
             else:
@@ -109,13 +109,14 @@ def holds_any(text: Column, variants: Column) -> Column:
     return F.exists(variants, lambda v: F.contains(text, v))
 
 
-def link_terms(terms: DataFrame, texts: DataFrame, gram: int = 12) -> DataFrame:
+def link_terms(terms: DataFrame, texts: DataFrame, prepositions: bool = True) -> DataFrame:
     """Pairs of a term and a text that holds one of its variants: ``term_id, text_id``.
 
-    ``terms``: ``term_id, term``; ``texts``: ``text_id, text``.  The terms' variants are the small side; where they fit
-    the broadcast threshold Spark keeps them whole, and otherwise texts and variants meet by a shared word.
+    ``terms``: ``term_id, term``; ``texts``: ``text_id, text``.  Texts and variants of three words or more meet by an inner
+    word, which stands whole wherever the variant does; only shorter variants, which may begin and end inside words, are
+    gathered for a scan.
     """
-    variants = terms.select("term_id", F.explode(F.array_distinct(T.term_variants(F.col("term")))).alias("variant"))
+    variants = terms.select("term_id", F.explode(F.array_distinct(T.term_variants(F.col("term"), prepositions))).alias("variant"))
     # A variant that stands in a text has its longest inner word there as a whole word, or, with fewer than three words, may begin and end inside words.
     inner = F.slice(F.split("variant", " ", -1), 2, F.greatest(F.size(F.split("variant", " ", -1)) - 2, F.lit(0)))
     key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
