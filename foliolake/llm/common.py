@@ -35,9 +35,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a frame from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
-    if folder is not None:
+    spark, files = df.sparkSession, df.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 

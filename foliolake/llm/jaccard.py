@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 from .components import components
 from .shingles import Words, distinct, runs
 
@@ -90,8 +90,10 @@ def frequent(summary: DataFrame) -> bytes:
     parts = summary.filter("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     for r in parts:  # CELLS / BLOCK rows
         cells[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64)
-    usual = 4 * cells.sum() / CELLS + 8
-    return np.where(cells > usual, np.log2(np.maximum(cells / usual, 1)) + 1, 0).astype(np.uint8).tobytes()
+    # What a cell holds beyond the mean, in units well above the spread of cells that share evenly.
+    mean = cells.sum() / CELLS
+    beyond = (cells - mean) / (3 * np.sqrt(mean) + 4)
+    return np.where(beyond > 1, np.log2(np.maximum(beyond, 1)) + 1, 0).astype(np.uint8).tobytes()
 
 
 def prefixes(docs: DataFrame, classes: bytes, n: int) -> DataFrame:
@@ -307,8 +309,8 @@ def most_shared(a: np.ndarray, n_a, b: np.ndarray, n_b):
     return np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=-1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(axis=-1, dtype=np.int64))
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """``id, size, signature, tokens`` of the documents in ``ids`` (one long column) and of few others: a filter of fixed size keeps their texts from being hashed, and no text or set is shuffled for it."""
+def sets_of(docs: DataFrame, ids: DataFrame, n: int, tokens: bool) -> DataFrame:
+    """``id, size`` and ``data``, the tokens or else the signature, of the documents in ``ids`` (one long column) and of few others: a filter of fixed size keeps their texts from being hashed, and no text or set is shuffled for it."""
 
     def mark(batches):
         f = Filter()
@@ -329,15 +331,24 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             for k in range(0, len(at), 500):
                 rows = b.take(pa.array(at[k : k + 500]))
                 sets = [shingle_set(words, t.as_py(), n) for t in rows.column(1)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "size", "signature", "tokens"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([(s if tokens else signature(s)).tobytes() for s in sets], pa.binary())], ["id", "size", "data"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, size long, signature binary, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, size long, data binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFrame:
-    """The pairs ``a, b`` with at least the similarity 0.8; ``bounded``: signatures are compared first."""
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("data").alias(f"of_{name}"), F.col("size").alias(f"n_{name}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
-    def bound(batches):
+
+def ids_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def bounded(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose signatures allow the similarity 0.8."""
+
+    def run(batches):
         for b in batches:
             keep = []
             for x, y, n, m in zip(*(b.column(k) for k in ("of_a", "of_b", "n_a", "n_b"))):
@@ -346,7 +357,13 @@ def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFra
                 keep.append(bool(100 * most >= 80 * (n + m - most)))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def exact(batches):
+    return _met(pairs, signatures).mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """The pairs ``a, b`` with at least the similarity 0.8.  Only now are sets made, of the documents that are left."""
+
+    def run(batches):
         for b in batches:
             keep = []
             for x, y in zip(b.column("of_a"), b.column("of_b")):
@@ -355,12 +372,10 @@ def verified(pairs: DataFrame, sets: DataFrame, bounded: bool = True) -> DataFra
                 keep.append(100 * both >= 80 * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col(column).alias(f"of_{name}"), F.col("size").alias(f"n_{name}"))
-
-    if bounded:
-        pairs = pairs.join(side("b", "signature"), "b").join(side("a", "signature"), "a").mapInArrow(bound, "a long, b long")
-    return pairs.join(side("b", "tokens"), "b").join(side("a", "tokens"), "a").select("a", "b", "of_a", "of_b").mapInArrow(exact, "a long, b long")
+    sets = written(sets_of(docs, ids_of(pairs), n, tokens=True), "sets")
+    links = written(_met(pairs, sets).mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(sets)
+    return links
 
 
 def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFrame:
@@ -381,17 +396,16 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFr
     for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
         large.add(np.frombuffer(bytes(r.large), np.uint64))
         any_large = True
-    of_pairs = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    links = written(verified(pairs, written(sets_of(docs, of_pairs(pairs), n), "sets")), "links")
+    signatures = written(sets_of(docs, ids_of(pairs), n, tokens=False), "signatures")
+    links = verified(written(bounded(pairs, signatures).distinct(), "pairs"), docs, n)
     found = components(links)
     if any_large:
         only = large.packed()
-        sets = written(sets_of(docs, written(holding(prefix, only), "ids"), n), "sets")
+        signatures = written(sets_of(docs, holding(prefix, only), n, tokens=False), "signatures")
         known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        known = known.join(sets.select(F.col("id").alias("doc_id"), "signature"), "doc_id").dropDuplicates(["doc_id"])
+        known = known.join(signatures.select(F.col("id").alias("doc_id"), F.col("data").alias("signature")), "doc_id").dropDuplicates(["doc_id"])
         more = bucketed(known, buckets, only).groupBy("bucket").applyInArrow(second_round, pair_schema).select("a", "b").distinct()
-        more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        again = written(verified(more, sets, bounded=False), "links")
+        again = verified(written(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), docs, n)
         if not again.isEmpty():
             found = components(links.unionByName(again))
     # From representatives to all documents: their class's component.
