@@ -65,7 +65,7 @@ def classes(vectors: DataFrame) -> DataFrame:
                 x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype=np.float64)
                 if not len(x) or v.values.null_count or not np.isfinite(x).all() or not x.any():
                     continue
-                x += 0.0  # minus zero and zero are equal
+                x = x + 0.0  # minus zero and zero are equal
                 digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
                 for o, value in zip(out, (i.as_py(), len(x), int(digest[0]), int(digest[1]), x.tobytes())):
                     o.append(value)
