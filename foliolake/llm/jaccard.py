@@ -117,7 +117,9 @@ def prefixes(docs: DataFrame, classes: bytes, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, size long, short long, prefix binary")
 
 
-POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("short", "<i4"), ("component", "<i8")])
+POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("short", "<i4")])
+#: Of the second round; ``before`` is the token just before in the prefix, 0 for the first.
+KNOWN = np.dtype([*POSTING.descr, ("component", "<i8"), ("before", "<u8")])
 
 
 def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> DataFrame:
@@ -126,6 +128,8 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
     With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along.
     """
 
+    kind = POSTING if only is None else KNOWN
+
     def run(batches):
         keep = None if only is None else Filter(only)
         held, bits, size = [], [], 0
@@ -143,11 +147,12 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
             ids, sizes, shorts = (b.column(k).to_numpy() for k in ("doc_id", "size", "short"))
             for k, tokens in enumerate(b.column("prefix")):
                 tokens = np.frombuffer(tokens.as_py(), np.uint64)
-                rows = np.zeros(len(tokens), dtype=POSTING)
+                rows = np.zeros(len(tokens), dtype=kind)
                 rows["token"], rows["id"], rows["size"] = tokens, ids[k], sizes[k]
                 rows["short"][: shorts[k]] = 1
                 if keep is not None:
                     rows["component"] = b.column("component")[k].as_py()
+                    rows["before"][1:] = tokens[:-1]
                     rows = rows[keep.has(tokens)]
                     bits += [b.column("signature")[k].as_py()] * len(rows)
                 if len(rows):
@@ -196,9 +201,9 @@ class Filter:
             return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _tiles(table):
+def _tiles(table, kind: np.dtype):
     """The postings of a bucket, those of one token together and by size, and their signatures (or None)."""
-    rows = np.concatenate([np.frombuffer(x.as_py(), POSTING) for x in table.column("postings")])
+    rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("postings")])
     order = np.lexsort((rows["id"], rows["size"], rows["token"]))
     bits = None
     if table.column("signatures").null_count == 0:
@@ -209,17 +214,45 @@ def _tiles(table):
     return rows[order], bits
 
 
-def _pairs(found: list[tuple[np.ndarray, np.ndarray]]):
-    if found:
-        a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        for k in range(0, pairs.shape[1], 100_000):
-            yield pa.table({"a": pa.array(pairs[0, k : k + 100_000], pa.int64()), "b": pa.array(pairs[1, k : k + 100_000], pa.int64()), "large": pa.nulls(min(100_000, pairs.shape[1] - k)).cast(pa.binary())})
+def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The pairs as rows of two, the smaller id first, each once."""
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return np.stack([a[new], b[new]], axis=1)
+
+
+def _dealt(pairs: np.ndarray, parts: int) -> pa.Table:
+    """Rows ``part, pairs``: pairs packed by a hash of both ids, so that no id makes a part large."""
+    with np.errstate(over="ignore"):
+        mixed = pairs.astype(np.uint64) * np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+        part = ((mixed[:, 0] ^ (mixed[:, 1] >> np.uint64(7))) * np.uint64(0xFF51AFD7ED558CCD) >> np.uint64(33)).astype(np.int64) % parts
+    order = np.argsort(part, kind="stable")
+    pairs, part = pairs[order], part[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    packed = [x.tobytes() for x in np.split(pairs, starts[1:])] if len(starts) else []
+    return pa.table({"part": pa.array(part[starts], pa.int64()), "pairs": pa.array(packed, pa.binary()), "large": pa.nulls(len(starts)).cast(pa.binary())})
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """``a, b``: the pairs of all buckets, each once."""
+
+    def once(key, table):
+        both = np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in table.column("pairs")])
+        both = _once([(both[:, 0], both[:, 1])])
+        return pa.table({"a": both[:, 0], "b": both[:, 1]})
+
+    return found.filter("pairs IS NOT NULL").select("part", "pairs").groupBy("part").applyInArrow(once, "a long, b long")
 
 
-def first_round(key, table):
+def first_round(parts: int, table):
     """Pairs of small tiles, pairs with the band heads of large ones, and the large tiles' tokens."""
-    rows, _ = _tiles(table)
+    rows, _ = _tiles(table, POSTING)
     token, size, found = rows["token"], rows["size"].astype(np.int64), []
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
@@ -242,15 +275,18 @@ def first_round(key, table):
                 other = np.flatnonzero((smaller == 1) & (np.arange(len(band)) != i))
                 found.append((np.full(len(other), band["id"][i]), band["id"][other]))
             head = end
-    tables = list(_pairs(found))
+    out = _dealt(_once(found), parts)
     if (counts > SMALL).any():
-        tables.append(pa.table({"a": pa.nulls(1).cast(pa.int64()), "b": pa.nulls(1).cast(pa.int64()), "large": pa.array([token[starts[counts > SMALL]].tobytes()], pa.binary())}))
-    return pa.concat_tables(tables) if tables else PAIRS.empty_table()
+        out = pa.concat_tables([out, pa.table({"part": pa.nulls(1).cast(pa.int64()), "pairs": pa.nulls(1).cast(pa.binary()), "large": pa.array([token[starts[counts > SMALL]].tobytes()], pa.binary())})])
+    return out
 
 
-def second_round(key, table):
-    """Pairs of large tiles that lie in different components and whose signatures allow the similarity."""
-    rows, bits = _tiles(table)
+def second_round(parts: int, table):
+    """Pairs of large tiles that lie in different components and whose signatures allow the similarity.
+
+    Two sets that also share the token before meet in its tile: there in the first round or, if large, in this one.
+    """
+    rows, bits = _tiles(table, KNOWN)
     token, size, found, held = rows["token"], rows["size"].astype(np.int64), [], 0
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
@@ -266,7 +302,8 @@ def second_round(key, table):
         for i in np.flatnonzero(tile["short"] == 1):
             for w, (members, matrix) in stacked.items():
                 low, high = np.searchsorted(members, [i + 1, ends[i]])
-                at = low + np.flatnonzero(tile["component"][members[low:high]] != tile["component"][i])
+                near = members[low:high]
+                at = low + np.flatnonzero((tile["component"][near] != tile["component"][i]) & ((tile["before"][near] != tile["before"][i]) | (tile["before"][i] == 0)))
                 for k in range(0, len(at), 4096):
                     other = members[at[k : k + 4096]]
                     most = most_shared(bits[start + i], s[i], matrix[at[k : k + 4096]], s[other])
@@ -275,13 +312,9 @@ def second_round(key, table):
                         found.append((np.full(len(other), tile["id"][i]), tile["id"][other]))
                         held += len(other)
         if held > 2_000_000:  # fold what tiles have in common
-            t = list(_pairs(found))
-            found, held = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in t], 0
-    tables = list(_pairs(found))
-    return pa.concat_tables(tables) if tables else PAIRS.empty_table()
-
-
-PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("large", pa.binary())])
+            both = _once(found)
+            found, held = [(both[:, 0], both[:, 1])], 0
+    return _dealt(_once(found), parts)
 
 
 def signature_bytes(n: int) -> int:
@@ -378,7 +411,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return links
 
 
-def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
     summary = written(summarise(docs, n), "summary")
@@ -389,22 +422,26 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 24 << 20) -> DataFr
     prefix = written(prefixes(docs, classes, n).join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefix")
     postings = prefix.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings * POSTING.itemsize // bucket_bytes) + 1)
-    pair_schema = "a long, b long, large binary"
-    first = written(bucketed(prefix, buckets).groupBy("bucket").applyInArrow(first_round, pair_schema), "pairs")
-    pairs = written(first.filter("large IS NULL").select("a", "b").distinct(), "pairs")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+
+    def met(postings, round_):
+        return postings.groupBy("bucket").applyInArrow(lambda key, table: round_(parts, table), "part long, pairs binary, large binary")
+
+    first = written(met(bucketed(prefix, buckets), first_round), "tiles")
+    pairs = written(unpacked(first), "pairs")
     large, any_large = Filter(), False
     for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
         large.add(np.frombuffer(bytes(r.large), np.uint64))
         any_large = True
     signatures = written(sets_of(docs, ids_of(pairs), n, tokens=False), "signatures")
-    links = verified(written(bounded(pairs, signatures).distinct(), "pairs"), docs, n)
+    links = verified(written(bounded(pairs, signatures), "pairs"), docs, n)
     found = components(links)
     if any_large:
         only = large.packed()
         signatures = written(sets_of(docs, holding(prefix, only), n, tokens=False), "signatures")
         known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         known = known.join(signatures.select(F.col("id").alias("doc_id"), F.col("data").alias("signature")), "doc_id").dropDuplicates(["doc_id"])
-        more = bucketed(known, buckets, only).groupBy("bucket").applyInArrow(second_round, pair_schema).select("a", "b").distinct()
+        more = unpacked(met(bucketed(known, buckets, only), second_round))
         again = verified(written(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), docs, n)
         if not again.isEmpty():
             found = components(links.unionByName(again))
