@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliolake.llm import decontam, jaccard, packing, secrets, toxicity
-from foliolake.llm.common import new_folder
+from foliolake.llm.common import new_folder, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +15,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by near-duplicate links the one with the smallest id stays."""
-    rest = jaccard.similar(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(docs.columns)
+    """Of documents joined by near-duplicate links the one with the smallest id stays; of rows with one id, one row.
+
+    Rows without an id link with nothing and stay.
+    """
+    linked = F.coalesce(F.max(F.col("doc_id") != F.col("component_id")), F.lit(False))
+    by_id = jaccard.similar(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(linked.alias("linked"), F.count("*").alias("n"))
+    gone = written(by_id.filter("linked OR n > 1"), "groups")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = gone.filter("NOT linked").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -153,9 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that hold no test item."""
+    """The rows of ``docs`` that hold no test item; rows with the same ``doc_id`` (null equals null) stay or go together."""
     leaks = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    return docs.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

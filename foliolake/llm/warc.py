@@ -48,7 +48,7 @@ def write_archives(records: DataFrame, folder: str, least: int = 100, file_bytes
         "\r\n",
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(again, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: <urn:record:"), F.col("id"), F.lit(">")),
+        F.concat(F.lit("WARC-Record-ID: <urn:record:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("uri", r"[\x00-\x1f]", "")),
         F.lit("WARC-Date: 2000-01-01T00:00:00Z"),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
@@ -74,7 +74,8 @@ def parse(data: bytes):
 
 
 def _number(urn: str | None) -> int | None:
-    return int(urn.strip("<>").rpartition(":")[2]) if urn else None
+    number = (urn or "").strip("<>").rpartition(":")[2]
+    return int(number) if number else None
 
 
 def read_archives(spark, folder: str, payloads: bool = True) -> DataFrame:
