@@ -88,7 +88,7 @@ class Model:
 
 
 def fit(rows: list[tuple[list[str], int]], swap_penalty: float = 1.0, ridge: float = 0.05, max_features: int = 256, least_rows: int = 5, groups=IDENTITY) -> Model:
-    """``rows``: distinct words of a text and its label."""
+    """``rows``: distinct words of a text, as a list or joined by spaces, and its label."""
     y = np.array([label for _, label in rows], dtype=float)
     if not len(y) or y.min() == y.max():
         # No boundary can be learned: the base rate, kept just under one half without evidence of toxic rows.
@@ -97,6 +97,9 @@ def fit(rows: list[tuple[list[str], int]], swap_penalty: float = 1.0, ridge: flo
     swap, ids = next_terms(groups), {}
     of_word: dict[str, list[int]] = {}
 
+    def listed(ws) -> list[str]:
+        return ws.split() if isinstance(ws, str) else ws
+
     def bag(ws) -> np.ndarray:
         found: set[int] = set()
         for w in ws:
@@ -105,8 +108,8 @@ def fit(rows: list[tuple[list[str], int]], swap_penalty: float = 1.0, ridge: flo
             found.update(known)
         return np.fromiter(found, np.int32, len(found))
 
-    bags = [bag(ws) for ws, _ in rows]
-    swapped = [(i, bag([swap.get(w.strip(MARKS), w) for w in ws])) for i, (ws, _) in enumerate(rows) if any(w.strip(MARKS) in swap for w in ws)]
+    bags = [bag(listed(ws)) for ws, _ in rows]
+    swapped = [(i, bag([swap.get(w.strip(MARKS), w) for w in listed(ws)])) for i, (ws, _) in enumerate(rows) if any(w.strip(MARKS) in swap for w in listed(ws))]
     of_word.clear()
     seen = np.zeros((2, len(ids)))
     for found, label in zip(bags, y):
@@ -158,11 +161,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, **options) -
 
     def run(batches):
         for b in batches:
-            bags = [sorted(words(t)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.list_(pa.string())), b.column(2).cast(pa.int32())], ["doc_id", "words", "toxic"])
+            bags = [" ".join(sorted(words(t.as_py()))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), b.column(2).cast(pa.int32())], ["doc_id", "words", "toxic"])
 
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")  # max_rows bound the broadcast side
-    rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words array<string>, toxic int").collect()
+    rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words string, toxic int").collect()
     return fit([(r.words, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))], **options)
 
 
