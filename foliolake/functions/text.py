@@ -157,6 +157,26 @@ def term_variants(c: Column, prepositions: bool = True) -> Column:
     return F.filter(F.array_compact(forms), lambda v: v != "")
 
 
+def is_page_heading(c: Column) -> Column:
+    return c.rlike(r"^#{1,4}\s+\d+\s*$")
+
+
+def is_sub_entry(c: Column) -> Column:
+    """Whether an index line belongs under the entry before it."""
+    return c.rlike(r"^[\p{Ll}\"]")
+
+
+def starts_bibliography(c: Column) -> Column:
+    """Whether an index line is spill-over of notes or of a bibliography, where the index ends."""
+    return c.rlike(r"^(\[\^\d+\]:|\d{4}\s+[A-Z])")
+
+
+def dir_label(c: Column) -> Column:
+    """What a chapter's folder is called in a link: its name after the number."""
+    label = strip(F.replace(F.regexp_replace(c, "^[^_]*_", ""), F.lit("_"), F.lit(" ")))
+    return F.when(label == "", c).otherwise(label)
+
+
 def citation_style(c: Column) -> Column:
     bracket = F.regexp_count(c, F.lit(r"\[(\d+)\]"))
     author = F.regexp_count(c, F.lit(r"\(([A-Z][A-Za-z]+(?:\s+(?:et al\.|and\s+[A-Z][A-Za-z]+))?,\s*\d{4})\)"))

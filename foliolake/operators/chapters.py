@@ -41,6 +41,12 @@ def footnotes(blocks: DataFrame) -> DataFrame:
     return whole.groupBy("doc", "chapter", F.col("of").alias("footnote")).agg(F.max_by("text", "nth").alias("text"), F.min("ord").alias("ord"))
 
 
+def bibliography(blocks: DataFrame) -> DataFrame:
+    """The reference blocks of each chapter, numbered from 1: ``doc, chapter, n, text``."""
+    nth = F.row_number().over(Window.partitionBy("doc", "chapter").orderBy("ord", "text"))
+    return blocks.filter("kind = 'reference'").select("doc", "chapter", nth.alias("n"), "text")
+
+
 def link_footnotes(blocks: DataFrame) -> DataFrame:
     """Body blocks with ``[^id]`` where an id of their chapter follows a word or sentence; footnote blocks go."""
     notes = footnotes(blocks).groupBy("doc", "chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "footnote")))["footnote"].alias("ids"))

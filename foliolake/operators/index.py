@@ -109,6 +109,19 @@ def holds_any(text: Column, variants: Column) -> Column:
     return F.exists(variants, lambda v: F.contains(text, v))
 
 
+def link_references(refs: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``refs`` (``volume, page, term`` and more) with the ``dir_name`` of the chapter that holds the page and names the term, else null.
+
+    Chapters come with ``volume, dir_name, page_start, page_end, text``; only narrow rows look for their page, and texts
+    join the chapters that were found.
+    """
+    placed = chapter_of_page(refs, chapters.drop("text"))
+    texts = chapters.select("volume", "dir_name", F.lower("text").alias("_low")).dropDuplicates(["volume", "dir_name"])
+    met = placed.join(texts, ["volume", "dir_name"], "left")
+    named = F.coalesce(holds_any(F.col("_low"), T.term_variants(F.col("term"))), F.lit(False))
+    return met.select(*refs.columns, F.when(named, F.col("dir_name")).alias("dir_name"))
+
+
 def link_terms(terms: DataFrame, texts: DataFrame, prepositions: bool = True) -> DataFrame:
     """Pairs of a term and a text that holds one of its variants: ``term_id, text_id``.
 
@@ -163,6 +176,13 @@ def search(lines: DataFrame, chapters: DataFrame, query: str, context: int = 0)
     return met.join(passages, "text_id").select("volume", "path", "index_term", "page_ref", "paragraphs")
 
 
+def formatted(hits: DataFrame) -> DataFrame:
+    """Search results as text, one row each: ``volume, path, shown``."""
+    name = T.chapter_display_name(F.element_at(F.split("path", "/"), 1))
+    head = F.concat(F.lit("## "), "volume", F.lit(" > "), name, F.lit("\nIndex: "), "index_term", F.lit(", "), "page_ref")
+    return hits.select("volume", "path", F.concat(head, F.lit("\n\n"), F.array_join("paragraphs", "\n\n")).alias("shown"))
+
+
 def linked_line(term: Column, refs: Column) -> Column:
     """An index line as Markdown; ``refs``: ``array<struct<label,target>>`` with a null target for what has no chapter."""
     shown = F.transform(refs, lambda r: F.when(r["target"].isNull(), r["label"]).otherwise(F.concat(F.lit("["), r["label"], F.lit("]("), r["target"], F.lit(")"))))

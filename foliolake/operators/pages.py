@@ -80,8 +80,38 @@ def gaps(pages: DataFrame, number: str = "page", block: int = 4096) -> DataFrame
 
 
 def reorder(pages: DataFrame, number: str = "number") -> DataFrame:
-    """Adds ``order``: pages without a number first, in their old order, then by number."""
-    return pages.orderBy("doc", F.col(number).asc_nulls_first(), "page")
+    """Adds ``order`` from 1 in each document: pages without a number first, in their old order, then by number."""
+    return pages.withColumn("order", F.row_number().over(Window.partitionBy("doc").orderBy(F.col(number).asc_nulls_first(), "page")))
+
+
+def rejoin_lines(pages: DataFrame, short: int = 15, least: int = 3) -> DataFrame:
+    """``doc, page, text`` with runs of short prose lines set as one line each.
+
+    In a run of neighbouring short lines the first that ends no sentence starts the joined line; it reaches to the run's
+    end and needs ``least`` lines.  A later start in the same run would only be shorter, so each run is decided once.
+    """
+    each = pages.select("doc", "page", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("bare", T.strip(F.col("raw")))
+    fits = (F.length("bare") < short) & T.is_prose_fragment(F.col("bare"))
+    each = each.withColumn("fits", fits).withColumn("run", F.sum((~F.col("fits")).cast("int")).over(Window.partitionBy("doc", "page").orderBy("at")))
+    in_run = Window.partitionBy("doc", "page", "run")
+    start = F.min(F.when(F.col("fits") & ~F.col("bare").rlike("[.!?:;]$"), F.col("at"))).over(in_run)
+    each = each.withColumn("start", start).withColumn("end", F.max("at").over(in_run))
+    joined = F.coalesce(F.col("fits") & (F.col("at") >= F.col("start")) & (F.col("end") - F.col("start") + 1 >= least), F.lit(False))
+    each = each.withColumn("joined", joined)
+    # A joined line goes on after a space, any other starts a line.
+    piece = F.when(F.col("joined"), F.concat(F.when(F.col("at") > F.col("start"), " ").otherwise("\n"), F.col("bare"))).otherwise(F.concat(F.lit("\n"), F.col("raw")))
+    text = F.array_join(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece"))))["piece"], "")
+    return each.groupBy("doc", "page").agg(F.substring(text, 2, (1 << 31) - 1).alias("text"))
+
+
+def merge_footnotes(blocks: DataFrame) -> DataFrame:
+    """Footnote blocks without a number directly after a footnote of their page continue it: ``doc, page, ord, kind, level, footnote, text``."""
+    w = Window.partitionBy("doc", "page").orderBy("ord", "text")
+    continues = (F.col("kind") == "footnote") & F.col("footnote").isNull() & F.coalesce(F.lag("kind").over(w) == "footnote", F.lit(False))
+    one = blocks.withColumn("island", F.sum((~continues).cast("int")).over(w)).groupBy("doc", "page", "island")
+    head = F.min_by(F.struct("kind", "level", "footnote"), "ord").alias("head")
+    merged = one.agg(F.min("ord").alias("ord"), head, F.array_join(F.array_sort(F.collect_list(F.struct("ord", "text")))["text"], "\n").alias("text"))
+    return merged.select("doc", "page", "ord", "head.*", "text")
 
 
 def segments(pages: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as T
 from foliolake.operators import chapters as C
 from foliolake.operators import index as I
+from foliolake.operators import layout as Y
 from foliolake.operators import library as L
 from foliolake.operators import ocr as O
 from foliolake.operators import pages as P
@@ -200,5 +201,178 @@ def a13_non_printable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.non_printable_share(F.col("text")).cast("double").alias("share"))
 
 
+@query("SELECT doc_id, sha256(translate(text, 'qx', chr(703) || chr(702))) AS h FROM documents")
+def t03_control_characters(spark, sf_dir):
+    """Control characters that stand for the signs of ayn and hamza."""
+    return table(spark, sf_dir, "documents").select("doc_id", digest(T.normalize_ligatures(F.translate("text", "qx", T.CONTROL))).alias("h"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, rtrim(text, E' \\n\\t') AS a, ltrim(lead(text) OVER (PARTITION BY conv_id ORDER BY turn, text), E' \\n\\t') AS b FROM conversations)
+SELECT conv_id, turn, sha256(a || CASE WHEN a = '' OR b = '' THEN E'\\n' WHEN NOT regexp_matches(a, '[.!?:;"'']$') AND regexp_matches(b, '^\\p{Ll}') THEN ' ' ELSE E'\\n\\n' END || b) AS h FROM t WHERE b IS NOT NULL""")
+def t06_sentence_join(spark, sf_dir):
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    turns = table(spark, sf_dir, "conversations").withColumn("after", after).filter("after IS NOT NULL AND text IS NOT NULL")
+    return turns.select("conv_id", "turn", digest(T.join_broken_sentences(F.col("text"), F.col("after"))).alias("h"))
+
+
+@query("""WITH e AS (SELECT source AS doc, doc_id AS page, unnest(ls) AS raw, generate_subscripts(ls, 1) AS pos FROM (SELECT source, doc_id, string_split(replace(text, ' ', E'\\n'), E'\\n') AS ls FROM documents)),
+f AS (SELECT *, trim(raw, E' \\t\\n\\r') AS bare FROM e),
+g AS (SELECT *, length(bare) BETWEEN 2 AND 14 AND regexp_matches(bare, '\\p{L}') AND NOT regexp_matches(bare, '[=+×÷∑∫√≤≥≠±<>]') AS fits FROM f),
+r AS (SELECT *, sum((NOT fits)::INT) OVER (PARTITION BY doc, page ORDER BY pos) AS run FROM g),
+s AS (SELECT *, min(pos) FILTER (fits AND NOT regexp_matches(bare, '[.!?:;]$')) OVER (PARTITION BY doc, page, run) AS first_at, max(pos) OVER (PARTITION BY doc, page, run) AS last_at FROM r),
+j AS (SELECT *, coalesce(fits AND pos >= first_at AND last_at - first_at >= 2, false) AS joined FROM s)
+SELECT doc, page, sha256(substr(string_agg(CASE WHEN joined THEN CASE WHEN pos > first_at THEN ' ' ELSE E'\\n' END || bare ELSE E'\\n' || raw END, '' ORDER BY pos), 2)) AS h FROM j GROUP BY doc, page""")
+def t10_rejoin_lines(spark, sf_dir):
+    """Texts with a word a line get lines of prose again."""
+    pages = pages_of(spark, sf_dir).withColumn("text", F.replace("text", F.lit(" "), F.lit("\n")))
+    return P.rejoin_lines(pages).select("doc", "page", digest(F.col("text")).alias("h"))
+
+
+@query("SELECT o_orderkey, 'entry ' || o_orderkey AS term, unnest([o_custkey, o_custkey + 1])::VARCHAR AS label, '../d' || unnest([o_custkey % 9, 7]) || '/c.md' AS target FROM orders")
+def t17_linked_lines(spark, sf_dir):
+    c = F.col("o_custkey")
+    line = F.format_string("entry %d, [%d](../d%d/c.md), [%d](../d7/c.md)", F.col("o_orderkey"), c, c % 9, c + 1)
+    term, links = T.parse_links(line)
+    return table(spark, sf_dir, "orders").select("o_orderkey", term.alias("term"), F.explode(links).alias("l")).select("o_orderkey", "term", "l.*")
+
+
+@query("SELECT o_orderkey, o_custkey::INT AS s1, (o_custkey + 3)::INT AS e1, (o_orderkey % 500)::INT AS s2, NULL::INT AS e2 FROM orders")
+def t18_page_references(spark, sf_dir):
+    refs = T.parse_page_refs(F.format_string("%d–%d, %d", F.col("o_custkey"), F.col("o_custkey") + 3, F.col("o_orderkey") % 500))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", refs.alias("r"))
+    return o.select("o_orderkey", *[F.get("r", k)[f].alias(f"{f[0]}{k + 1}") for k in (0, 1) for f in ("start", "end")])
+
+
+@query("SELECT c_custkey, c_name AS term, c_custkey || ', ' || (c_custkey + 1) || '-' || (c_custkey + 4) AS refs FROM customer")
+def t20_term_and_references(spark, sf_dir):
+    k = F.col("c_custkey")
+    term, refs = T.split_term_and_refs(F.concat("c_name", F.format_string(", %d, %d-%d.", k, k + 1, k + 4)))
+    return table(spark, sf_dir, "customer").select("c_custkey", term.alias("term"), refs.alias("refs"))
+
+
+@query("""SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(l, '^\\s*\\d{1,4}\\s*$')) AS numbers, count(*) FILTER (regexp_matches(l, 'https?://\\S+') AND length(trim(l, E' \\t\\r')) < 150 OR regexp_matches(l, '^\\s*\\d{1,4}\\s*$')) AS boilerplate,
+count(*) FILTER (length(trim(l, E' \\t\\r')) BETWEEN 3 AND 120 AND regexp_matches(l, '\\p{L}') AND NOT regexp_matches(l, '[\\p{Ll}\\p{Lt}\\p{Lm}\\p{Lo}]')) AS headings, count(*) FILTER (regexp_matches(l, '(?i)^(Figure|Fig\\.|Table|Plate)\\s+\\d')) AS captions,
+count(*) FILTER (regexp_matches(l, '^[\\p{Ll}"]')) AS sub_entries, count(*) FILTER (regexp_matches(l, '^#{1,4}\\s+\\d+\\s*$')) AS page_headings, count(*) FILTER (regexp_matches(l, '^(\\[\\^\\d+\\]:|\\d{4}\\s+[A-Z])')) AS spill_over
+FROM (SELECT doc_id, unnest(string_split(text, E'\\n')) AS l FROM documents) GROUP BY doc_id""")
+def p01_line_kinds(spark, sf_dir):
+    """The tests of single lines: page numbers, boilerplate, headings, captions, index entries, spill-over (P01, P03 to P05, P09 to P11)."""
+    c = F.col("l")
+    tests = {"numbers": T.is_page_number(c), "boilerplate": T.is_boilerplate(c), "headings": T.is_all_caps_heading(c), "captions": T.is_caption(c), "sub_entries": T.is_sub_entry(c), "page_headings": T.is_page_heading(c), "spill_over": T.starts_bibliography(c)}
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("l"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(t).alias(k) for k, t in tests.items()])
+
+
+@query("""SELECT DISTINCT doc, line FROM (SELECT doc, unnest(list_concat(ls[1:3], ls[greatest(len(ls) - 2, 1):])) AS line FROM
+(SELECT source AS doc, list_transform(string_split(text || E'\\n' || doc_id % 100, E'\\n'), lambda x: trim(x, E' \\t\\n')) AS ls FROM documents)) WHERE regexp_matches(line, '^\\s*\\d{1,4}\\s*$') OR (regexp_matches(line, 'https?://\\S+') AND length(line) < 150)""")
+def a02_boilerplate_lines(spark, sf_dir):
+    pages = pages_of(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n"), (F.col("page") % 100).cast("string")))
+    return P.boilerplate_lines(pages)
+
+
+@query("""SELECT l_orderkey AS page, l_linenumber % 2 AS line, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey::VARCHAR) AS text, count(*) AS n FROM lineitem WHERE l_quantity >= 5 GROUP BY ALL""")
+def a09_words_to_lines(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    words = l.select(F.col("l_orderkey").alias("page"), F.lit(1).alias("block"), F.lit(1).alias("par"), (F.col("l_linenumber") % 2).alias("line"), F.col("l_linenumber").alias("word"), F.col("l_partkey").cast("string").alias("text"), (F.col("l_quantity") - 5).alias("conf"))
+    return O.words_to_lines(words).select("page", "line", "text", F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("n"))
+
+
+@query("SELECT o_custkey AS doc, o_orderkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 5 END NULLS FIRST, o_orderkey)::INT AS \"order\" FROM orders")
+def w04_reorder(spark, sf_dir):
+    number = F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 5)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("page"), number.alias("number"))
+    return P.reorder(o).select("doc", "page", "order")
+
+
+@query("""WITH b AS (SELECT l_orderkey AS page, l_linenumber AS ord, l_linenumber % 3 > 0 AS note, l_linenumber % 3 = 1 AS numbered, l_partkey::VARCHAR AS text FROM lineitem),
+i AS (SELECT *, sum((NOT (note AND NOT numbered AND coalesce(before, false)))::INT) OVER (PARTITION BY page ORDER BY ord, text) AS island FROM (SELECT *, lag(note) OVER (PARTITION BY page ORDER BY ord, text) AS before FROM b))
+SELECT page, min(ord) AS ord, CASE WHEN arg_min(note, ord) THEN 'footnote' ELSE 'body' END AS kind, string_agg(text, E'\\n' ORDER BY ord, text) AS text FROM i GROUP BY page, island""")
+def w06_footnote_continuations(spark, sf_dir):
+    n = F.col("l_linenumber")
+    blocks = table(spark, sf_dir, "lineitem").select(F.lit("d").alias("doc"), F.col("l_orderkey").alias("page"), n.alias("ord"), F.when(n % 3 > 0, "footnote").otherwise("body").alias("kind"), F.lit(None).cast("int").alias("level"), F.when(n % 3 == 1, "1").alias("footnote"), F.col("l_partkey").cast("string").alias("text"))
+    return P.merge_footnotes(blocks).select("page", "ord", "kind", "text")
+
+
+@query("""WITH p AS (SELECT doc_id AS text_id, (unnest(range(len(ps))))::INT AS "at", trim(unnest(ps), E' \\t\\r\\n') AS paragraph FROM (SELECT doc_id, string_split(regexp_replace(text, '\\s*\\n\\s*', E'\\n\\n', 'g'), E'\\n\\n') AS ps FROM documents)),
+q AS (SELECT * FROM p WHERE paragraph <> '' AND NOT regexp_matches(paragraph, '^#{1,4}\\s+\\d+\\s*$')),
+w AS (SELECT *, max(contains(lower(paragraph), 'thtion')::INT) OVER (PARTITION BY text_id ORDER BY "at" ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM q)
+SELECT text_id, "at", sha256(paragraph) AS h FROM w WHERE near = 1""")
+def w16_passages(spark, sf_dir):
+    """Paragraphs that hold a term, and their neighbours."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), F.regexp_replace("text", r"\s*\n\s*", "\n\n").alias("text"))
+    return I.paragraphs(texts, "Thtion", context=1).select("text_id", "at", digest(F.col("paragraph")).alias("h"))
+
+
+@query("""WITH n AS (SELECT l_suppkey AS doc, (l_linenumber + 6)::DOUBLE AS size, l_returnflag AS font, length(l_partkey::VARCHAR) AS n, struct_pack(p := l_orderkey, b := 1, l := l_linenumber, s := 1) AS place FROM lineitem),
+s AS (SELECT doc, size, row_number() OVER (PARTITION BY doc ORDER BY sum(n) DESC, min(place), size) AS nth FROM n GROUP BY doc, size),
+f AS (SELECT doc, size, font, row_number() OVER (PARTITION BY doc, size ORDER BY sum(n) DESC, min(place), font) AS nth FROM n GROUP BY doc, size, font)
+SELECT s.doc, s.size AS body_size, f.font AS body_font FROM s JOIN f ON f.doc = s.doc AND f.size = s.size AND f.nth = 1 WHERE s.nth = 1""")
+def c01_font_profile(spark, sf_dir):
+    """Line items as spans of text: a supplier's main size and its main font at that size."""
+    n = F.col("l_linenumber")
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_orderkey").alias("page"), F.lit(1).alias("block"), n.alias("line"), F.lit(1).alias("span"), F.col("l_partkey").cast("string").alias("text"), (n + 6).cast("double").alias("size"), F.col("l_returnflag").alias("font"))
+    return Y.font_profile(spans).select("doc", "body_size", "body_font")
+
+
+@query("SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey::VARCHAR)::INT AS n, l_partkey::VARCHAR AS text FROM lineitem WHERE l_linenumber % 2 = 0")
+def c09_bibliography(spark, sf_dir):
+    n = F.col("l_linenumber")
+    blocks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.lit(1).alias("chapter"), n.alias("ord"), F.when(n % 2 == 0, "reference").otherwise("body").alias("kind"), F.col("l_partkey").cast("string").alias("text"))
+    return C.bibliography(blocks).select("doc", "n", "text")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey || '_' ELSE 'part of ' || c_nationkey END AS label FROM customer")
+def t22_folder_labels(spark, sf_dir):
+    name = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.col("c_custkey").cast("string"), F.lit("_"))).otherwise(F.concat(F.col("c_custkey").cast("string"), F.lit("_part_of_"), F.col("c_nationkey").cast("string")))
+    return table(spark, sf_dir, "customer").select("c_custkey", T.dir_label(name).alias("label"))
+
+
+@query("""SELECT volume, count(*) AS chapters, sum(words)::BIGINT AS words FROM (SELECT conv_id AS volume, any_value(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words FROM conversations GROUP BY conv_id, text) GROUP BY volume""")
+def a12_books(spark, sf_dir):
+    chapters = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("volume"), F.col("turn").alias("chapter"), "text")
+    return L.books(L.catalogue(chapters)).select("volume", "chapters", "words")
+
+
+@query("SELECT event_id AS key, CASE WHEN event_id % 10 >= 6 THEN 0 WHEN event_id % 10 >= 3 THEN 1 ELSE 2 END AS stage FROM events")
+def w18_cascade(spark, sf_dir):
+    """Each item's result by the first engine whose result is good enough."""
+
+    def engine(add):
+        return lambda items: items.select("key", F.lit("text").alias("text"), (F.col("key") % 10 / 10 + add).alias("confidence"), F.lit(5).alias("line_count"))
+
+    items = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"))
+    check = F.col("confidence") >= 0.595
+    return O.cascade(items, [engine(0.0), engine(0.3), engine(0.0)], [check, check, None]).select("key", "stage")
+
+
+@query("""WITH c AS (SELECT c_custkey AS s, c_custkey + c_custkey % 40 AS e, 'dir' || c_custkey AS dir_name, 'on chapter ' || c_nationkey AS text FROM customer),
+r AS (SELECT o_orderkey AS page, 'chapter ' || o_orderkey % 25 AS term FROM orders),
+m AS (SELECT r.page, arg_min(c.dir_name, (e - s) * 10000000 + s) AS dir_name FROM r JOIN c ON r.page BETWEEN c.s AND c.e GROUP BY r.page)
+SELECT r.page, r.term, CASE WHEN contains(c.text, r.term) THEN m.dir_name END AS dir_name FROM r LEFT JOIN m ON m.page = r.page LEFT JOIN c ON c.dir_name = m.dir_name""")
+def j02_references_to_chapters(spark, sf_dir):
+    """Page references linked to the narrowest chapter around the page, if it names the term."""
+    chapters = table(spark, sf_dir, "customer").select(F.lit("v").alias("volume"), F.concat(F.lit("dir"), "c_custkey").alias("dir_name"), F.col("c_custkey").alias("page_start"), (F.col("c_custkey") + F.col("c_custkey") % 40).alias("page_end"), F.concat(F.lit("On Chapter "), "c_nationkey").alias("text"))
+    refs = table(spark, sf_dir, "orders").select(F.lit("v").alias("volume"), F.col("o_orderkey").alias("page"), F.concat(F.lit("chapter "), F.col("o_orderkey") % 25).alias("term"))
+    return I.link_references(refs, chapters).select("page", "term", "dir_name")
+
+
+@query("""SELECT 'v' AS volume, 'd' || c_custkey || '/c.md' AS path, 'Entry ' || c_nationkey AS index_term, c_custkey::VARCHAR AS page_ref, 'First entry 1' || E'\\n\\n' || 'last ENTRY 1' || c_nationkey AS shown
+FROM customer WHERE contains('entry ' || c_nationkey, 'entry 1') AND c_custkey % 3 > 0""")
+def c14_search(spark, sf_dir):
+    """A term looked up in linked index lines, with the passages behind the links; links without a chapter are skipped."""
+    c = table(spark, sf_dir, "customer")
+    path = F.concat(F.lit("d"), "c_custkey", F.lit("/c.md"))
+    lines = c.select(F.lit("v").alias("volume"), F.col("c_custkey").alias("line_no"), F.concat(F.lit("Entry "), "c_nationkey", F.lit(", ["), "c_custkey", F.lit("](../"), path, F.lit(")")).alias("line"))
+    chapters = c.filter("c_custkey % 3 > 0").select(F.lit("v").alias("volume"), path.alias("path"), F.concat(F.lit("First entry 1\n\nno such thing\n\n## 12\n\nlast ENTRY 1"), "c_nationkey").alias("text"))
+    return I.search(lines, chapters, "Entry 1").select("volume", "path", "index_term", "page_ref", F.array_join("paragraphs", "\n\n").alias("shown"))
+
+
+@query("""SELECT 'v' AS volume, 'd' || c_custkey || '/c.md' AS path, '## v > D' || c_custkey || E'\\nIndex: Entry 7, ' || c_custkey || E'\\n\\non entry 7' AS shown FROM customer WHERE c_nationkey = 7""")
+def k10_formatted_hits(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").filter("c_nationkey = 7")
+    path = F.concat(F.lit("d"), "c_custkey", F.lit("/c.md"))
+    hits = c.select(F.lit("v").alias("volume"), path.alias("path"), F.lit("Entry 7").alias("index_term"), F.col("c_custkey").cast("string").alias("page_ref"), F.array(F.lit("on entry 7")).alias("paragraphs"))
+    return I.formatted(hits)
+
+
 def flagship(spark, sf_dir):
     return a01_repeated_lines(spark, sf_dir)

@@ -30,7 +30,7 @@ def screenshot_folders(files: DataFrame) -> DataFrame:
 
 def markdown_chapters(spark: SparkSession, volume: str) -> DataFrame:
     """``dir_name, page_start, page_end, paths, text`` of a volume's chapter folders; null pages where the name has none."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "chapter_*.md").text(volume).select(F.col("_metadata.file_path").alias("path"), "value")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "chapter_*.md").text(volume, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     named = files.withColumn("dir_name", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).filter(~F.lower("dir_name").contains("index") & ~F.col("dir_name").rlike(r"^\.|\.orig$"))
     page = lambda g: F.expr(f"try_cast(regexp_extract(dir_name, '_pp_([0-9]+)_([0-9]+)_', {g}) AS int)")
     ordered = F.array_sort(F.collect_list(F.struct("path", "value")))

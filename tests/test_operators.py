@@ -120,3 +120,32 @@ def test_registry_without_training_data_package():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) >= 20
+
+
+def test_rejoined_lines(spark):
+    from foliolake.operators import pages
+
+    cases = {"aa\nbb\ncc": "aa bb cc", "aa\nbb": "aa\nbb", "a\nb\nc": "a\nb\nc", "end.\naa\nbb\ncc.": "end.\naa bb cc.", "12\naa\n bb\ncc\na much longer line here\ndd\n": "12\naa bb cc\na much longer line here\ndd\n", "xx.\nyy\nzz": "xx.\nyy\nzz", "": "", "a + b\ncc\ndd\nee!": "a + b\ncc dd ee!"}
+    frame = spark.createDataFrame([("d", i, t) for i, t in enumerate(cases)], "doc string, page int, text string")
+    assert [r.text for r in pages.rejoin_lines(frame).orderBy("page").collect()] == list(cases.values())
+
+
+def test_command_line_search(spark, tmp_path, capsys):
+    from foliolake import __main__ as command
+
+    for name, text in (("10_index/chapter_01_.md", "# INDEX\nAmber, [3](../20_pp_1_9_sea/chapter_01_.md)\nGone, [4](../nowhere/c.md)"), ("20_pp_1_9_sea/chapter_01_.md", "# Sea\n\nOf amber.\n\nOther.")):
+        (tmp_path / "v" / name).parent.mkdir(parents=True)
+        (tmp_path / "v" / name).write_text(text)
+    command.main(["search", "amber", "--output-dir", str(tmp_path)])
+    command.main(["search", "gone", "--output-dir", str(tmp_path)])
+    out = capsys.readouterr().out
+    assert "Index: Amber, 3\n\nOf amber." in out and "Other." not in out and "No results found for 'gone'." in out
+
+
+def test_markdown_chapters(spark, tmp_path):
+    from foliolake.sources import files
+
+    (tmp_path / "20_pp_3_9_sea").mkdir()
+    (tmp_path / "20_pp_3_9_sea" / "chapter_01_sea.md").write_text("# Sea\n\nof amber\nand more")
+    rows = files.markdown_chapters(spark, str(tmp_path)).collect()
+    assert [(r.dir_name, r.page_start, r.page_end, r.text) for r in rows] == [("20_pp_3_9_sea", 3, 9, "# Sea\n\nof amber\nand more")]
