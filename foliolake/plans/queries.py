@@ -374,5 +374,14 @@ def k10_formatted_hits(spark, sf_dir):
     return I.formatted(hits)
 
 
+@query("SELECT c_nationkey::VARCHAR AS volume, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS entry, c_name AS term, c_custkey || ', ' || c_custkey + 2 AS refs FROM customer")
+def c11_index_entries(spark, sf_dir):
+    """Customers of a nation as the lines of an index, read back as entries."""
+    k = F.col("c_custkey")
+    line = F.concat("c_name", F.format_string(", %d, %d", k, k + 2))
+    lines = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("volume")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("line"))))["line"].alias("lines"))
+    return I.parse_index(lines.select("volume", F.array_join("lines", "\n").alias("text"))).select("volume", "entry", "term", "refs")
+
+
 def flagship(spark, sf_dir):
     return a01_repeated_lines(spark, sf_dir)
