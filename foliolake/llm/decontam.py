@@ -1,18 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: pairs of neighbouring words as seeds, then Smith-Waterman alignment.
 
-Seeds are the word 3-grams of the test items.  A first scan of the whole corpus counts in how many documents each
-occurs; of an item's seeds the rarer half stays (at least ``least_seeds``), so common phrases start no alignment, while
-a passage that leaked thousands of times keeps half of its seeds.  A second scan looks up the seeds of every document
-and, around each hit, aligns the words of the item with those of the passage (match 1, mismatch and gap -1).  A
-document holds an item when the best local score is at least ``threshold`` of the item's length, so copies with edited,
-inserted or lost words are found.  Both scans are narrow: no text is shuffled.
+A document holds an item when the best local score of their words (match 1, mismatch and gap -1) is at least
+``threshold`` of the item's length, so copies with edited, inserted or lost words are found.
 
-The seed table is shipped with the scans.  Its size is checked: test items are taken in blocks of at most
-``block_seeds`` seeds, each block with scans of its own, so a large benchmark costs passes instead of memory.
+No such copy is lost before the alignment.  An alignment with m matches and e edits has at most e + 1 runs of matches,
+so at least m - e - 1 neighbouring pairs of matched words, one less than its score; and it covers at most twice the
+item's length less its score.  One scan therefore looks up every word pair of a document among those of all items and
+aligns an item only around places where that many of its pairs lie that close together.  Common pairs take part like
+rare ones.  The scan is narrow: no text is shuffled.
 
-Cases: null and empty texts hold nothing; items of fewer than 3 words have no seeds and match nothing; repeated items
-each count; repeated rows give repeated pairs; an empty corpus or benchmark gives an empty result; very long texts are
-scanned whole; other columns are ignored.
+The seed table is shipped with the scan.  Its size is checked: test items are taken in blocks of at most
+``block_seeds`` seeds, each block with a scan of its own, so a large benchmark costs passes instead of memory.
+
+Cases: null and empty texts hold nothing; a score of 1 (a lone word) never counts; items of fewer than 3 words match
+nothing; repeated items each count; repeated rows give repeated pairs; an empty corpus or benchmark gives an empty
+result; very long texts are scanned whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .shingles import SPACE, Words, runs
 
-N = 3
+N = 2
+#: Items of fewer words match nothing.
+SHORTEST = 3
 #: Marks that stand between words like white space, so that punctuation makes no word different.
 BETWEEN = SPACE + b".,;:!?\"'()[]{}*"
 
@@ -63,87 +67,78 @@ class Seeds:
         return at[real], number[real]
 
 
-def frequencies(docs: DataFrame, hashes: np.ndarray) -> np.ndarray:
-    """In how many documents each seed occurs."""
-
-    def run(batches):
-        seeds, words, n = Seeds(hashes), Words(BETWEEN), np.zeros(len(hashes), dtype=np.int64)
-        for b in batches:
-            for text in b.column(0):
-                sequence = words.of(text.as_py())
-                if len(sequence) >= N:
-                    n[np.unique(seeds.hits(runs(sequence, N))[1])] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], ["seed", "n"])
-
-    out = np.zeros(len(hashes), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # at most a row per seed
-        out[r.seed] = r.n
-    return out
-
-
-def aligned(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float, least_seeds: int) -> DataFrame:
-    grams = [runs(w, N) for _, w in items]
-    hashes = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.uint64)
-    n = frequencies(docs, hashes)
-    places: dict[int, list[tuple[int, int]]] = {}
-    for i, g in enumerate(grams):
-        number = np.searchsorted(hashes, g)
-        kept = np.argsort(n[number], kind="stable")[: max(least_seeds, (len(g) + 1) // 2)]
-        for k in kept.tolist():
-            places.setdefault(int(number[k]), []).append((i, k))
-    numbers = sorted(places)
-    rare, places = hashes[numbers], [places[k] for k in numbers]
+class Items:
+    """Test items with what an alignment must have: the least score, and the pairs of words it holds at least."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], threshold: float):
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        lengths = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.score = np.maximum(np.ceil(threshold * lengths).astype(np.int64), N)
+        self.pairs, self.reach = self.score - 1, 2 * lengths - self.score
+        grams = [np.unique(runs(w, N)) for w in self.words]
+        self.hashes, number = np.unique(np.concatenate(grams), return_inverse=True)
+        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        self.owners = owner[np.argsort(number, kind="stable")]
+        self.n = np.bincount(number, minlength=len(self.hashes))
+        self.first = np.cumsum(self.n) - self.n
+
+    def near(self, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and positions, in order, from which enough pairs of the item lie close enough together."""
+        n = self.n[number]
+        item = self.owners[np.repeat(self.first[number] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        order = np.argsort(item, kind="stable")
+        item, at = item[order], np.repeat(at, n)[order]
+        last = np.arange(len(item)) + self.pairs[item] - 1
+        held = last < len(item)
+        item_, at_, last = item[held], at[held], last[held]
+        held = (item[last] == item_) & (at[last] - at_ <= self.reach[item_] - N)
+        return item_[held], at_[held]
+
+
+def aligned(docs: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float) -> DataFrame:
+    known = Items(items, threshold)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    item_ids, sequences = [i for i, _ in items], [w for _, w in items]
 
     def run(batches):
-        seeds, words = Seeds(rare), Words(BETWEEN)
+        seeds, words = Seeds(known.hashes), Words(BETWEEN)
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0), b.column(1)):
                 sequence = words.of(text.as_py())
                 if len(sequence) < N:
                     continue
-                at, number = seeds.hits(runs(sequence, N))
-                starts: dict[int, list[int]] = {}
-                for p, s in zip(at.tolist(), number.tolist()):
-                    for i, k in places[s]:
-                        starts.setdefault(i, []).append(p - k)
-                for i, begins in starts.items():
-                    item = sequences[i]
-                    slack, best, end, done = len(item) // 2 + 4, 0, 0, -1
-                    for begin in sorted(begins):
-                        if begin < done:  # inside the passage that was aligned last
-                            continue
-                        left = max(0, begin - slack)
-                        score, stop = align(item, sequence[left : begin + len(item) + 2 * slack])
-                        done = begin + slack
+                item, at = known.near(*seeds.hits(runs(sequence, N)))
+                for i in np.unique(item).tolist():
+                    begins, reach, best, end = at[item == i], int(known.reach[i]), 0, 0
+                    # Passages that overlap are aligned as one.
+                    for part in np.split(begins, np.flatnonzero(np.diff(begins) > 2 * reach) + 1):
+                        left = max(0, int(part[0]) - reach)
+                        score, stop = align(known.words[i], sequence[left : int(part[-1]) + reach])
                         if score > best:
                             best, end = score, left + stop
-                    if best >= threshold * len(item):
-                        rows.append((doc.as_py(), item_ids[i], best / len(item), end))
+                    if best >= known.score[i]:
+                        rows.append((doc.as_py(), known.ids[i], best / len(known.words[i]), end))
             yield pa.RecordBatch.from_pydict({k: [r[j] for r in rows] for j, k in enumerate(("doc_id", "item_id", "score", "end_word"))}, schema=schema)
 
     schema = pa.schema([("doc_id", pa.string() if kind == "string" else pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("end_word", pa.int64())])
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {'string' if kind == 'string' else 'long'}, item_id long, score double, end_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least_seeds: int = 8, block_seeds: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_seeds: int = 2_000_000) -> DataFrame:
     """Pairs of a document and a test item that it holds: ``doc_id, item_id, score, end_word``."""
     found, block, size, words = None, [], 0, Words(BETWEEN)
 
     def flush():
         nonlocal found, block, size
         if block or found is None:
-            part = aligned(docs, block, threshold, least_seeds) if block else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+            part = aligned(docs, block, threshold) if block else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
             found = part if found is None else found.unionByName(part)
         block, size = [], 0
 
-    # Items come one at a time, a partition at most in memory; scans run block by block.
+    # Items come one at a time, a partition at most in memory; a scan runs block by block.
     for r in benchmark.select("item_id", "text").toLocalIterator():
         w = words.of(r.text)
-        if len(w) >= N:
+        if len(w) >= SHORTEST:
             block.append((r.item_id, w))
             size += len(w)
         if size >= block_seeds:
