@@ -123,3 +123,13 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_documents_with_much_edited_items_go(spark, folder):
+    item = FIXTURE[2][2][1].split()
+    copies = [" ".join("edited" if i % k == k - 1 else w for i, w in enumerate(item)) for k in (4, 5, 6)]
+    assert all(2 * best_local(item, c.split()) >= len(item) for c in copies)
+    for c in copies:
+        rows = [(1, f"{prose(30)} {c} {prose(30)}"), (2, prose(80))]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert [r.doc_id for r in corpus_pipeline.without_benchmark(spark, docs, folder).collect()] == [2]
