@@ -151,8 +151,9 @@ def term_variants(c: Column, prepositions: bool = True) -> Column:
     words = F.split(t, r"\s+")
     cut = F.lit(None).cast("string")
     for p in reversed(PREPOSITIONS if prepositions else ()):
-        at = F.array_position(words, p)
-        cut = F.when((at > 1) & (F.size(words) > 2), F.array_join(F.slice(words, F.lit(1), (F.greatest(at, F.lit(1)) - 1).cast("int")), " ")).otherwise(cut)
+        # The first word may be a preposition; the cut is before a later one.
+        before = F.array_position(F.slice(words, F.lit(2), F.size(words)), p)
+        cut = F.when((before > 0) & (F.size(words) > 2), F.array_join(F.slice(words, F.lit(1), before.cast("int")), " ")).otherwise(cut)
     forms = F.array(t, F.when(comma, F.concat(rest, F.lit(" "), first)), F.when(comma, first), F.when(bare != t, bare), base, cut)
     return F.filter(F.array_compact(forms), lambda v: v != "")
 

@@ -171,12 +171,19 @@ def j01_page_to_chapter(spark, sf_dir):
 OR (contains(b.text, ', ') AND contains(lower(d.text), lower(trim(string_split(b.text, ', ')[1]))))
 OR (contains(b.text, ', ') AND contains(lower(d.text), lower(trim(substr(b.text, instr(b.text, ', ') + 2)) || ' ' || trim(string_split(b.text, ', ')[1]))))""")
 def j03_terms_in_texts(spark, sf_dir):
-    # Prepositions are left out on both sides: the texts of benchmark are sentences, whose first words stand nearly everywhere.
+    # This query and its SQL leave out the variants cut before a preposition; the next query has all variants.
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     return I.link_terms(terms, texts, prepositions=False)
 
 
+@query()
+def j03_terms_in_texts_all_variants(spark, sf_dir):
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return I.link_terms(terms, texts)
+
+
 @query("""SELECT volume, chapter, words, coalesce(sum(words) OVER (PARTITION BY volume ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before
 FROM (SELECT conv_id AS volume, min(turn) AS chapter, any_value(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')))::BIGINT AS words FROM conversations GROUP BY conv_id, text)""")
 def c20_catalogue(spark, sf_dir):
