@@ -7,9 +7,13 @@ characters leans on that after one character less, in proportion to how little t
 are judged by the log-likelihood difference divided by their length, against a threshold that is calibrated on held-out
 labelled URLs: the cut of the score histogram with the least balanced error.
 
-Characters are folded to 32 symbols of 5 bits, so a context with its character is an integer below ``32 ** (order + 1)``
-and a model is one array of that fixed size, whatever the input: it is a one-row frame that is broadcast, and scoring is
-a narrow projection.  Counting shuffles partial sums per symbol code only; calibration, per histogram bin.
+The query counts real characters with contexts of up to 5.  ``judge`` folds them to 32 symbols, with contexts of 2,
+unless told otherwise.
+
+The counts are a table keyed by context and character, and grow with the URLs.  Each gram of ``order + 1`` characters
+that occurs gets its log-probability difference once, by joins with the counts of its shorter ends; the grams of a URL
+are joined with those.  A bounded number of the most common grams is broadcast, so that no task gets all occurrences
+of one; the others meet in a shuffle.
 
 Cases: null urls and such without ``://`` have an empty host and path, match no rule, and are scored as their text
 (null as empty); an empty text scores 0; without training URLs of a class its model is uniform, and without held-out
@@ -20,12 +24,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Symbol 0 stands before a text; 1 to 26 are letters, 27 a digit, 28 to 30 the signs below, 31 all else.
-SIGNS = "/.-"
+#: Stands before a text as often as a context is long.
+PAD = "\0"
+#: So many of the most common grams are broadcast.
+COMMON = 4096
 BINS = 512
 
 
@@ -65,60 +73,44 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def symbols(text: Column) -> Column:
-    """A text as an array of symbols."""
-    folded = F.translate(text, UPPER, LOWER)
-
-    def one(c):
-        n = F.ascii(c)
-        sign = F.instr(F.lit(SIGNS), c)
-        return F.when(n.between(97, 122), n - 96).when(n.between(48, 57), 27).when(sign > 0, sign + 27).otherwise(31)
-
-    return F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), one)
-
-
-def codes(of: Column, order: int) -> Column:
-    """For each symbol, the integer of its context and itself."""
-    mask = 32 ** (order + 1) - 1
-    return F.aggregate(
-        of,
-        F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("all")),
-        lambda acc, s: F.struct(
-            F.shiftleft(acc["last"], 5).bitwiseOR(s).bitwiseAND(F.lit(mask)).alias("last"),
-            F.array_append(acc["all"], F.shiftleft(acc["last"], 5).bitwiseOR(s).bitwiseAND(F.lit(mask))).alias("all"),
-        ),
-        lambda acc: acc["all"],
-    )
-
-
-def train(labelled: DataFrame, order: int = 2, beta: float = 8.0) -> DataFrame:
-    """One row with ``model``, an array of log-probability differences by code.  ``labelled``: ``text, accepted``."""
-    counts = (
-        labelled.select("accepted", F.explode(codes(symbols(F.col("text")), order)).alias("code"))
-        .groupBy("code")
-        .agg(F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0"))
-    )
-    size = 32 ** (order + 1)
-    grams = labelled.sparkSession.range(0, size, 1, 1).select(F.col("id").cast("int").alias("code")).join(F.broadcast(counts), "code", "left").na.fill(0)
-    grams = grams.withColumns({f"p{side}": F.lit(1 / 32) for side in "01"})
-    # From no context to the longest: the counts of a shorter context are sums over the older symbols of longer ones.
-    for k in range(order + 1):
-        gram, context = F.col("code") % 32 ** (k + 1), F.floor(F.col("code") % 32 ** (k + 1) / 32)
-        of_gram, of_context = Window.partitionBy(gram), Window.partitionBy(context)
-        grams = grams.withColumns({f"p{side}": (F.sum(f"n{side}").over(of_gram) + beta * F.col(f"p{side}")) / (F.sum(f"n{side}").over(of_context) + beta) for side in "01"})
-    by_code = F.array_sort(F.collect_list(F.struct("code", (F.log("p1") - F.log("p0")).alias("ratio"))))
-    return grams.groupBy().agg(by_code["ratio"].alias("model"))
+def folded(text: Column) -> Column:
+    """a-z in one case, one symbol for digits, ``/``, ``.``, ``-``, and one for all else."""
+    return F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9/.-]", "~"), "[0-9]", "0")
 
 
-def score(text: Column, order: int) -> Column:
-    """The length-normalised log-likelihood difference by the column ``model``."""
+def grams(text: Column, order: int) -> Column:
+    """Each character of a text behind its context."""
+    padded = F.split(F.concat(F.lit(PAD * order), text), "")
+    # The array is bound once, not split anew for each character.
+    each = F.transform(F.array(padded), lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - order), lambda i: F.array_join(F.slice(a, i, order + 1), "")))
+    return F.when(F.length(text) > 0, F.get(each, F.lit(0)))
 
-    def step(acc, s):
-        code = F.shiftleft(acc["code"], 5).bitwiseOR(s).bitwiseAND(F.lit(32 ** (order + 1) - 1))
-        return F.struct(code.alias("code"), (acc["sum"] + F.get("model", code)).alias("sum"), (acc["n"] + 1).alias("n"))
 
-    zero = F.struct(F.lit(0).alias("code"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
-    return F.aggregate(symbols(text), zero, step, lambda acc: F.when(acc["n"] > 0, acc["sum"] / acc["n"]).otherwise(0.0))
+def ratios(counts: DataFrame, order: int, beta: float, alphabet: int) -> DataFrame:
+    """The log-probability difference of each gram: ``gram, n, ratio``.  ``counts``: ``gram, n, n1, n0``."""
+    out = counts.select("gram", "n", F.lit(1 / alphabet).alias("p1"), F.lit(1 / alphabet).alias("p0"))
+    # From no context to the longest: the counts of a shorter context are sums over those of longer ones.
+    for k in range(order + 1):
+        end = {"end": F.substring("gram", order - k + 1, k + 1), "context": F.substring("gram", order - k + 1, k)}
+        of = {key: counts.groupBy(c.alias(key)).agg(*(F.sum(f"n{side}").alias(f"{key}{side}") for side in "10")) for key, c in end.items()}
+        ends, contexts = (F.broadcast(of[key]) if n < 2 else of[key] for key, n in (("end", k + 1), ("context", k)))
+        out = out.withColumns(end).join(ends, "end").join(contexts, "context")
+        out = out.select("gram", "n", *(((F.col(f"end{side}") + beta * F.col(f"p{side}")) / (F.col(f"context{side}") + beta)).alias(f"p{side}") for side in "10"))
+    return out.select("gram", "n", (F.log("p1") - F.log("p0")).alias("ratio"))
+
+
+def scores(texts: DataFrame, order: int, beta: float, fold: bool, alphabet: int) -> DataFrame:
+    """The length-normalised log-likelihood difference of each text: ``id, score``.  ``texts``: ``id, text, accepted``, the last null where a text trains nothing."""
+    each = texts.select("id", "accepted", F.explode(grams(folded(F.col("text")) if fold else F.col("text"), order)).alias("gram"))
+    counts = written(each.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("accepted").alias("n1"), F.count_if(~F.col("accepted")).alias("n0")), "grams")
+    model = written(ratios(counts, order, beta, alphabet), "ratios")
+    discard(counts)
+    common = model.orderBy(F.desc("n"), "gram").limit(COMMON).select("gram", "ratio")
+    met = each.select("id", "gram").join(F.broadcast(common), "gram", "left")
+    rare = met.filter("ratio IS NULL").select("id", "gram").join(model.select("gram", "ratio"), "gram")
+    # Texts that repeat have all their grams as often, which the mean leaves out.
+    out = met.filter("ratio IS NOT NULL").select("id", "ratio").unionByName(rare.select("id", "ratio")).groupBy("id").agg(F.avg("ratio").alias("score"))
+    return written(out, "scores")
 
 
 def threshold(scored: DataFrame, reach: float = 4.0) -> DataFrame:
@@ -133,22 +125,20 @@ def threshold(scored: DataFrame, reach: float = 4.0) -> DataFrame:
     return one.select(F.when((F.col("good") > 0) & (F.col("bad") > 0), cut).otherwise(0.0).alias("threshold"))
 
 
-def judge(pages: DataFrame, rules=RULES, order: int = 2, beta: float = 8.0, held_out: int = 5) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, order: int = 2, beta: float = 8.0, held_out: int = 5, fold: bool = True) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, score, threshold``."""
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", name).withColumn("by_rule", verdict)
-    labelled = base.filter("by_rule IS NOT NULL").select("text", (F.col("by_rule") == "allow").alias("accepted"))
+    base = base.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("id", F.unhex(F.md5(F.col("text").cast("binary"))))
     apart = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(held_out)) == 0
-    model = F.broadcast(train(labelled.filter(~apart), order, beta))  # one row of fixed size
-    cut = F.broadcast(threshold(labelled.filter(apart).crossJoin(model).select(score(F.col("text"), order).alias("score"), "accepted")))
+    accepted = F.col("by_rule") == "allow"
+    scored = scores(base.select("id", "text", F.when(~apart, accepted).alias("accepted")), order, beta, fold, 32 if fold else 256)
+    base = base.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    cut = F.broadcast(threshold(base.filter(F.col("by_rule").isNotNull() & apart).select("score", accepted.alias("accepted"))))
     by_model = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
-    return (
-        base.crossJoin(model).withColumn("score", score(F.col("text"), order)).drop("model").crossJoin(cut)
-        .select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score", "threshold")
-    )
+    return base.crossJoin(cut).select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "score", "threshold")
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), order=5, fold=False)
