@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a filter of ids, as a power of two.
+FILTER_BITS = 26
 #: Words of the operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -56,3 +61,53 @@ def rows_frame(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
+
+
+class Filter:
+    """A set of numbers as 2 ** FILTER_BITS bits: all that were added are found, and few others."""
+
+    def __init__(self, packed: bytes | None = None):
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8) if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
+
+    def add(self, numbers: np.ndarray) -> None:
+        place = self._place(numbers)
+        np.bitwise_or.at(self.bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        place = self._place(numbers)
+        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+
+    def packed(self) -> bytes:
+        return zlib.compress(self.bits.tobytes(), 1)
+
+    @staticmethod
+    def _place(numbers: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def filter_of(ids: DataFrame) -> Filter:
+    """The numbers of a frame of one long column, gathered as four filters of fixed size."""
+
+    def mark(batches):
+        f = Filter()
+        for b in batches:
+            f.add(b.column(0).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([f.packed()], pa.binary())], ["bits"])
+
+    out = Filter()
+    for r in ids.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():  # at most 4 rows of 8 MB
+        out.bits |= Filter(bytes(r.bits)).bits
+    return out
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose first column is in ``ids`` (one long column, no nulls), and few others, without a shuffle of ``rows``."""
+    packed = rows.sparkSession.sparkContext.broadcast(filter_of(ids).packed())
+
+    def run(batches):
+        wanted = Filter(packed.value)
+        for b in batches:
+            yield b.filter(pa.array(wanted.has(b.column(0).to_numpy()), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import Filter, discard, filter_of, written
 from .components import components
 from .shingles import Words, distinct, runs
 
-#: Counters of the sketch and of its blocks; tiles above this many members take two rounds, the first with so many heads; bits of a fixed filter.
-CELLS, BLOCK, SMALL, HEADS, FILTER_BITS = 1 << 20, 1 << 15, 16, 8, 26
+#: Counters of the sketch and of its blocks; tiles above this many members take two rounds, the first with so many heads.
+CELLS, BLOCK, SMALL, HEADS = 1 << 20, 1 << 15, 16, 8
 
 
 def shingle_set(words: Words, text: str | None, n: int = 5) -> np.ndarray:
@@ -178,29 +178,6 @@ def holding(prefix: DataFrame, only: bytes) -> DataFrame:
     return prefix.select("doc_id", "prefix").mapInArrow(run, "id long")
 
 
-class Filter:
-    """A set of numbers as 2 ** FILTER_BITS bits: all that were added are found, and few others."""
-
-    def __init__(self, packed: bytes | None = None):
-        self.bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8) if packed is None else np.frombuffer(zlib.decompress(packed), np.uint8)
-
-    def add(self, numbers: np.ndarray) -> None:
-        place = self._place(numbers)
-        np.bitwise_or.at(self.bits, place >> 3, np.uint8(1) << (place & 7).astype(np.uint8))
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        place = self._place(numbers)
-        return (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-
-    def packed(self) -> bytes:
-        return zlib.compress(self.bits.tobytes(), 1)
-
-    @staticmethod
-    def _place(numbers: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
 def _tiles(table, kind: np.dtype):
     """The postings of a bucket, those of one token together and by size, and their signatures (or None)."""
     rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("postings")])
@@ -345,16 +322,7 @@ def most_shared(a: np.ndarray, n_a, b: np.ndarray, n_b):
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, tokens: bool) -> DataFrame:
     """``id, size`` and ``data``, the tokens or else the signature, of the documents in ``ids`` (one long column) and of few others: a filter of fixed size keeps their texts from being hashed, and no text or set is shuffled for it."""
 
-    def mark(batches):
-        f = Filter()
-        for b in batches:
-            f.add(b.column(0).to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([f.packed()], pa.binary())], ["bits"])
-
-    wanted = Filter()
-    for r in ids.repartition(4).mapInArrow(mark, "bits binary").toLocalIterator():  # at most 4 rows of 8 MB
-        wanted.bits |= Filter(bytes(r.bits)).bits
-    packed = docs.sparkSession.sparkContext.broadcast(wanted.packed())
+    packed = docs.sparkSession.sparkContext.broadcast(filter_of(ids).packed())
 
     def run(batches):
         want, words = Filter(packed.value), Words()

@@ -163,16 +163,41 @@ def test_jaccard_against_all_pairs(spark):
     assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
 
 
-def test_embeddings(spark):
+def plain_links(x):
+    """Links and components of unit vectors, by all pairs."""
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+        if (new == label).all():
+            return near.sum(axis=1), label
+        label = new
+
+
+def embeddings(spark):
     centres = RNG.standard_normal((30, 32))
     x = np.repeat(centres, 10, axis=0) + 0.15 * RNG.standard_normal((300, 32))
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (301, [0.0] * 32), (302, [float("nan")] * 32), (303, x[0].tolist()), (304, [1.0])]
-    got = {r.vec_id: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cell_rows=32).collect()}
-    y = np.vstack([x, x[:1]])
-    y /= np.linalg.norm(y, axis=1, keepdims=True)
-    n = (y @ y.T >= 0.9).sum(axis=1) - 1
-    found = sum(got[i].n_links for i in range(300)) + got[303].n_links
-    assert len(got) == 305 and 0.9 * n.sum() <= found <= n.sum() and all(got[i].n_links == 0 and got[i].kept for i in (300, 301, 302, 304))
+    hot = RNG.standard_normal((1, 32)) + 0.05 * RNG.standard_normal((150, 32))  # one large group of near copies
+    x = np.vstack([x, hot, x[:1], hot[:40]])
+    odd = [(500, None), (501, [0.0] * 32), (502, [float("nan")] * 32), (503, [1.0]), (504, [None] * 32)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + odd
+    y = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), plain_links(y)
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 32}, {"cell_rows": 64, "block": 20, "bucket_bytes": 4000}])
+def test_embeddings_against_all_pairs(spark, options):
+    vectors, (n, label) = embeddings(spark)
+    got = {r.vec_id: r for r in embed_dedup.near_duplicates(vectors, recall=0.999999, **options).collect()}
+    assert len(got) == len(n) + 5 and all(got[i].n_links == 0 and got[i].kept for i in range(500, 505))
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(len(n))] == [(k, c, c == i) for i, (k, c) in enumerate(zip(n.tolist(), label.tolist()))]
+
+
+def test_embeddings_recall_with_small_cells(spark):
+    vectors, (n, _) = embeddings(spark)
+    found = embed_dedup.near_duplicates(vectors, cell_rows=8).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * n.sum() <= found <= n.sum()
 
 
 def test_decontamination(spark):
