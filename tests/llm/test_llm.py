@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -106,6 +107,41 @@ def test_secrets_against_re(spark):
     assert clean[1] == "[secret] é [secret]" and clean[3] == texts[3]
 
 
+def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
+    a, b = secrets.Rule("a", "a+"), secrets.Rule("b", "b+")
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    texts = ["aab", "bba", "aab", None]
+    ledger.take(frame(spark, texts[:1]), ["doc_id"], [a])
+    ledger.take(frame(spark, texts), ["doc_id"], [a, b])
+    triples = [(r.blob, r.kind, r.version) for r in ledger.rows().collect()]
+    assert len(triples) == len(set(triples)) == 6
+    # What the ledger says of a seen pair is taken over, not found anew.
+    blob = hashlib.sha256(b"aab").hexdigest()
+    told = spark.createDataFrame([(blob, "a", 1, [(7, 8)])], secrets.LEDGER)
+    found, new = secrets.scan(frame(spark, texts), ["doc_id"], [a, b], told)
+    assert (blob, "a") not in {(r.blob, r.kind) for r in new.collect()} and (blob, "b") in {(r.blob, r.kind) for r in new.collect()}
+    assert {r.doc_id: (r.a, r.b) for r in found.collect()} == {0: ([(7, 8)], [(2, 3)]), 1: ([(2, 3)], [(0, 2)]), 2: ([(7, 8)], [(2, 3)]), 3: ([], [])}
+    # A rule of another version is scanned again.
+    assert unseen_of(spark, texts, secrets.Rule("a", "a+", version=2), told) == 3
+
+
+def unseen_of(spark, texts, rule, ledger):
+    return secrets.unseen(frame(spark, texts), ["doc_id"], [rule], ledger).count()
+
+
+def test_very_many_secrets_in_one_text(spark):
+    hashes = [hashlib.md5(str(i).encode()).hexdigest() for i in range(30_000)]
+    begun = time.time()
+    found, _ = secrets.scan(frame(spark, [" ".join(hashes), "é" + hashes[0]]), ["doc_id"])
+    by = {r.doc_id: r.hex for r in found.collect()}
+    assert by[0] == [(33 * i, 33 * i + 32) for i in range(30_000)] and by[1] == [(1, 33)]
+    assert time.time() - begun < 30
+    mixed = " ".join(f"token={h} x" for h in hashes[:9000])
+    begun = time.time()
+    assert secrets.redact(frame(spark, [mixed])).first().text == " ".join(["[secret] x"] * 9000)
+    assert time.time() - begun < 30
+
+
 def test_token_counts(spark):
     import public_tokenizers
     import sentencepiece
