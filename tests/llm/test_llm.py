@@ -167,6 +167,28 @@ def test_warc(spark):
     assert {i: r.refers_to for i, r in got.items() if r.type == "revisit"} == {2: 1, 6: 0}
 
 
+def test_warc_files_are_bounded_and_standard(spark, tmp_path):
+    import gzip
+    from datetime import datetime
+
+    rng = np.random.default_rng(1)
+    html = lambda n: rng.integers(33, 127, n, dtype=np.uint8).tobytes().decode()
+    pages = [(i, f"http://h/{i}", html(20_000)) for i in range(40)] + [(100 + i, "u", html(3_000_000)) for i in range(4)] + [(200, "v", "é" * 80), (200, "v", "other" * 50), (201, "w", "é" * 80)]
+    records = spark.createDataFrame(pages, "id long, uri string, payload string").coalesce(1)
+    folder = str(tmp_path / "warc")
+    warc.write_archives(records, folder, file_bytes=2 << 20, date=datetime(2024, 5, 6))
+    files = sorted((tmp_path / "warc").glob("part-*"))
+    assert len(files) >= 6 and all(f.stat().st_size <= (2 << 20) + 3_100_000 for f in files)
+    for f in files:
+        whole = gzip.decompress(f.read_bytes())  # a standard reader takes all members
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and whole.count(b"WARC-Type: warcinfo") == 1 and b"2024-05-06T00:00:00Z" in whole
+    got = [(r.id, r.type, r.refers_to, hashlib.sha256(bytes(r.payload)).hexdigest()) for r in warc.rejoin(warc.read_archives(spark, folder)).collect()]
+    want = [(i, "revisit" if i == 201 else "response", 200 if i == 201 else None, hashlib.sha256(t.encode()).hexdigest()) for i, _, t in pages]
+    assert sorted(got, key=lambda r: (r[0], r[3])) == sorted(want, key=lambda r: (r[0], r[3]))
+    revisit = [m for f in files for m in warc.members(f.read_bytes()) if b"WARC-Type: revisit" in m]
+    assert len(revisit) == 1 and b"WARC-Refers-To-Target-URI: v\r\n" in revisit[0] and b"WARC-Refers-To: <urn:record:200>" in revisit[0]
+
+
 def test_url_rules_and_model(spark):
     urls = ["https://M.Example.NET/en/x?q", "http://a.net", "http://b.net/q", "http://example.com/de/", "http://x.org/fr/a#b", None, "no scheme", "http://notexample.com/de/"] + [f"http://h{i}.net/bad{i}" for i in range(40)] + [f"http://good{i}.org/fr/fine" for i in range(40)]
     rows = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
