@@ -8,24 +8,35 @@ from pyspark.sql import functions as F
 from .common import discard, written
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def with_least(rows: DataFrame, many: int) -> DataFrame:
+    """``u, v`` with ``m``, the least ``v`` of each ``u``.
+
+    A node with more than ``many`` rows is a hub.  All hubs together have no more rows than there are, so their number is
+    bounded by rows / many; they are broadcast, and their rows stay where they are.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    met = rows.join(F.broadcast(least.filter(F.col("n") > many).select("u", "m")), "u", "left")
+    rest = met.filter("m IS NULL").select("u", "v").join(least.filter(F.col("n") <= many).select("u", "m"), "u")
+    return met.filter("m IS NOT NULL").unionByName(rest)
+
+
+def components(links: DataFrame, most_rounds: int = 60, most_hubs: int = 1024) -> DataFrame:
     """``id, component`` for every id in ``links`` (two long columns); the component is the smallest id reachable.
 
     Alternates two steps until nothing changes: every node hands its smallest neighbour to the larger ones, then to the
-    smaller ones.  Rounds grow with the logarithm of the longest path.  A hub's rows are pre-aggregated before they
-    move, and the joins are plain ones that adaptive execution may split.
+    smaller ones.  Rounds grow with the logarithm of the longest path.  Smallest neighbours are partial aggregates, and at
+    most ``most_hubs`` hubs are broadcast, so no task meets all rows of a hub.
     """
     a, b = links.columns[:2]
     edges = written(links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    mark = None
+    mark, many = None, max(64, 2 * edges.count() // most_hubs)
     for _ in range(most_rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        met = with_least(both, many).withColumn("m", F.least("u", "m"))
+        large = met.filter("v > u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Now every row points down, so the smaller neighbours of u are its v.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
-        new = written(small.filter("u != v").distinct(), "edges")
+        down = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+        new = written(with_least(large, many).select(down.alias("e")).select("e.*").filter("u != v").distinct(), "edges")
         discard(edges)
         edges = new
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

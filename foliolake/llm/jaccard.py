@@ -8,14 +8,15 @@
 * In a bucket, representatives that share a prefix shingle form tiles, banded by set size: a pair is only looked at when
   sizes allow the similarity.  Small tiles give all such pairs.  A large tile first gives pairs with a few heads of each
   band only; once those are verified and joined to components, a second round looks at all pairs of large tiles that lie
-  in different components still, so groups of near copies are not expanded and no connection is lost.
+  in different components still, so groups of near copies are not expanded and no connection is lost.  Tiles of more than
+  ``TILE`` members are cut into blocks then, whose pairs are dealt over tasks.
 * Hashed bitmap signatures bound the overlap of a pair from above by bit counts, in the second round inside the tile;
   survivors meet as sorted arrays and are intersected exactly.
 
 Cases: texts with fewer than five words have their whole word sequence as one shingle; null, empty and white-space texts
 have an empty set and link with nothing; a row without ``doc_id`` links with nothing and has no component; equal rows
-share a class; ``doc_id`` names a document, so rows that repeat it should repeat the text; very long texts are hashed
-whole; other columns are ignored; an empty table gives an empty result.
+share a class; ``doc_id`` names a document, so one whose rows hold different texts is linked by any of them; very long
+texts are hashed whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .shingles import Words, distinct, runs
 
 #: Counters of the sketch and of its blocks; tiles above this many members take two rounds, the first with so many heads.
 CELLS, BLOCK, SMALL, HEADS = 1 << 20, 1 << 15, 16, 8
+#: Members of a block of a tile in the second round; it doubles while more than CUT tiles are above it, which bounds what is shipped.
+TILE, CUT = 4096, 1 << 20
 
 
 def shingle_set(words: Words, text: str | None, n: int = 5) -> np.ndarray:
@@ -118,14 +121,36 @@ def prefixes(docs: DataFrame, classes: bytes, n: int) -> DataFrame:
 
 
 POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("short", "<i4")])
-#: Of the second round; ``before`` is the token just before in the prefix, 0 for the first.
-KNOWN = np.dtype([*POSTING.descr, ("component", "<i8"), ("before", "<u8")])
+#: Of the second round; ``before`` is the token just before in the prefix, 0 for the first; ``tile`` the token, or of a tile in blocks a pair of them, of which ``side`` 1 and 2 are to meet (0: one block); ``cut`` is 1 for tiles in blocks.
+KNOWN = np.dtype([*POSTING.descr, ("component", "<i8"), ("before", "<u8"), ("tile", "<u8"), ("side", "<i2"), ("cut", "<i2")])
+#: A large tile's token and its members.
+LARGE = np.dtype([("token", "<u8"), ("n", "<i8")])
+
+
+def in_blocks(rows: np.ndarray, tiles: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Postings of tiles in ``tiles`` (sorted by token) once for each pair of blocks that theirs is part of, and where they come from."""
+    rows["tile"] = rows["token"]
+    if not len(tiles) or not len(rows):
+        return rows, np.arange(len(rows))
+    at = np.minimum(np.searchsorted(tiles["token"], rows["token"]), len(tiles) - 1)
+    cut = np.where(tiles["token"][at] == rows["token"], -(-tiles["n"][at] // block), 1)
+    of = np.repeat(np.arange(len(rows)), cut)
+    total, other = cut[of], np.arange(len(of)) - np.repeat(np.cumsum(cut) - cut, cut)
+    rows = rows[of]
+    with np.errstate(over="ignore"):
+        own = ((rows["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % total.astype(np.uint64)).astype(np.int64)
+        low, high = np.minimum(own, other), np.maximum(own, other)
+        rows["cut"] = total > 1
+        rows["side"] = np.where(low == high, 0, np.where(own == low, 1, 2))
+        rows["tile"] ^= np.where(total > 1, (low * total + high + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
+    return rows, of
 
 
-def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> DataFrame:
+def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles: np.ndarray | None = None, block: int = TILE) -> DataFrame:
     """``bucket, postings, signatures``: each task packs the postings of its rows by bucket.
 
-    With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along.
+    With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along; ``tiles`` are
+    the tiles above ``block`` then.
     """
 
     kind = POSTING if only is None else KNOWN
@@ -136,7 +161,7 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
 
         def flush():
             rows = np.concatenate(held)
-            bucket = (rows["token"] % np.uint64(buckets)).astype(np.int64)
+            bucket = (rows["token" if only is None else "tile"] % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -153,7 +178,7 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None) -> Data
                 if keep is not None:
                     rows["component"] = b.column("component")[k].as_py()
                     rows["before"][1:] = tokens[:-1]
-                    rows = rows[keep.has(tokens)]
+                    rows, _ = in_blocks(rows[keep.has(tokens)], tiles, block)
                     bits += [b.column("signature")[k].as_py()] * len(rows)
                 if len(rows):
                     held.append(rows)
@@ -179,9 +204,9 @@ def holding(prefix: DataFrame, only: bytes) -> DataFrame:
 
 
 def _tiles(table, kind: np.dtype):
-    """The postings of a bucket, those of one token together and by size, and their signatures (or None)."""
+    """The postings of a bucket, those of one tile together and by size, and their signatures (or None)."""
     rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("postings")])
-    order = np.lexsort((rows["id"], rows["size"], rows["token"]))
+    order = np.lexsort((rows["id"], rows["size"], rows["tile" if kind is KNOWN else "token"]))
     bits = None
     if table.column("signatures").null_count == 0:
         data = np.frombuffer(b"".join(x.as_py() for x in table.column("signatures")), np.uint8)
@@ -254,7 +279,13 @@ def first_round(parts: int, table):
             head = end
     out = _dealt(_once(found), parts)
     if (counts > SMALL).any():
-        out = pa.concat_tables([out, pa.table({"part": pa.nulls(1).cast(pa.int64()), "pairs": pa.nulls(1).cast(pa.binary()), "large": pa.array([token[starts[counts > SMALL]].tobytes()], pa.binary())})])
+        out = pa.concat_tables([out, pa.table({"part": pa.nulls(1).cast(pa.int64()), "pairs": pa.nulls(1).cast(pa.binary()), "large": pa.array([_large(token[starts], counts).tobytes()], pa.binary())})])
+    return out
+
+
+def _large(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(int((counts > SMALL).sum()), dtype=LARGE)
+    out["token"], out["n"] = tokens[counts > SMALL], counts[counts > SMALL]
     return out
 
 
@@ -264,12 +295,14 @@ def second_round(parts: int, table):
     Two sets that also share the token before meet in its tile: there in the first round or, if large, in this one.
     """
     rows, bits = _tiles(table, KNOWN)
-    token, size, found, held = rows["token"], rows["size"].astype(np.int64), [], 0
-    starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    tiles, size, found, held = rows["tile"], rows["size"].astype(np.int64), [], 0
+    starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
-    for start, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
+    for start, count in zip(starts.tolist(), counts.tolist()):
         tile = rows[start : start + count]
-        if (tile["component"] == tile["component"][0]).all():
+        sides = bool(tile["side"][0])
+        # The filter lets small tiles through as well, which the first round has done; blocks are of large ones.
+        if (not sides and count <= SMALL and not tile["cut"].any()) or (tile["component"] == tile["component"][0]).all():
             continue
         s = size[start : start + count]
         ends = np.searchsorted(s * 4, s * 5, side="right")
@@ -280,7 +313,8 @@ def second_round(parts: int, table):
             for w, (members, matrix) in stacked.items():
                 low, high = np.searchsorted(members, [i + 1, ends[i]])
                 near = members[low:high]
-                at = low + np.flatnonzero((tile["component"][near] != tile["component"][i]) & ((tile["before"][near] != tile["before"][i]) | (tile["before"][i] == 0)))
+                apart = (tile["component"][near] != tile["component"][i]) & (not sides or tile["side"][near] != tile["side"][i])
+                at = low + np.flatnonzero(apart & ((tile["before"][near] != tile["before"][i]) | (tile["before"][i] == 0)))
                 for k in range(0, len(at), 4096):
                     other = members[at[k : k + 4096]]
                     most = most_shared(bits[start + i], s[i], matrix[at[k : k + 4096]], s[other])
@@ -379,7 +413,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return links
 
 
-def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20) -> DataFrame:
+def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
     summary = written(summarise(docs, n), "summary")
@@ -387,7 +421,12 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20) -> DataFr
     classes = frequent(summary)
     filled = base.filter("size > 0 AND doc_id IS NOT NULL")
     heads = filled.groupBy("h1", "h2", "size").agg(F.min("doc_id").alias("head"))
-    prefix = written(prefixes(docs, classes, n).join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "prefix")
+    prefix = prefixes(docs, classes, n).join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi")
+    prefix = written(prefix.dropDuplicates(["doc_id", "size", "prefix"]), "prefix")
+    # A document with several texts joins their classes.
+    several = filled.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("doc_id")
+    of_several = filled.join(several, "doc_id", "left_semi").join(heads, ["h1", "h2", "size"]).select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    of_several = written(of_several, "several")
     postings = prefix.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(postings * POSTING.itemsize // bucket_bytes) + 1)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
@@ -397,22 +436,32 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20) -> DataFr
 
     first = written(met(bucketed(prefix, buckets), first_round), "tiles")
     pairs = written(unpacked(first), "pairs")
-    large, any_large = Filter(), False
+    large, tiles, block, any_large = Filter(), np.zeros(0, LARGE), tile, False
     for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
-        large.add(np.frombuffer(bytes(r.large), np.uint64))
-        any_large = True
+        one = np.frombuffer(bytes(r.large), LARGE)
+        large.add(one["token"])
+        tiles, any_large = np.concatenate([tiles, one[one["n"] > block]]), True
+        while len(tiles) > CUT:
+            block *= 2
+            tiles = tiles[tiles["n"] > block]
+    tiles = np.sort(tiles, order="token")
     signatures = written(sets_of(docs, ids_of(pairs), n, tokens=False), "signatures")
-    links = verified(written(bounded(pairs, signatures), "pairs"), docs, n)
+    allowed = written(bounded(pairs, signatures), "pairs")
+    links = verified(allowed, docs, n).unionByName(of_several)
     found = components(links)
     if any_large:
         only = large.packed()
-        signatures = written(sets_of(docs, holding(prefix, only), n, tokens=False), "signatures")
+        more_signatures = written(sets_of(docs, holding(prefix, only), n, tokens=False), "signatures")
         known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        known = known.join(signatures.select(F.col("id").alias("doc_id"), F.col("data").alias("signature")), "doc_id").dropDuplicates(["doc_id"])
-        more = unpacked(met(bucketed(known, buckets, only), second_round))
-        again = verified(written(more.join(pairs, ["a", "b"], "left_anti"), "pairs"), docs, n)
+        known = known.join(more_signatures.select(F.col("id").alias("doc_id"), "size", F.col("data").alias("signature")), ["doc_id", "size"]).dropDuplicates(["doc_id", "size", "prefix", "signature"])
+        more = written(unpacked(met(bucketed(known, buckets, only, tiles, block), second_round)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        again = verified(more, docs, n)
         if not again.isEmpty():
             found = components(links.unionByName(again))
+        for table in (more_signatures, more):
+            discard(table)
+    for table in (first, pairs, signatures, allowed, prefix):
+        discard(table)
     # From representatives to all documents: their class's component.
     classes_ = heads.join(found.select(F.col("id").alias("head"), "component"), "head", "left").select("h1", "h2", "size", F.coalesce("component", "head").alias("component"))
     linked = base.join(classes_, ["h1", "h2", "size"], "left")

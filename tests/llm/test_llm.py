@@ -222,7 +222,22 @@ def test_toxicity(spark):
     assert toxicity.scored(docs, fair).count() == len(ODD)
 
 
-def test_jaccard_against_all_pairs(spark):
+def plain_components(texts, ids):
+    """Set sizes, and the smallest id reachable, by all pairs."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set()))
+    label = list(ids)
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        near = sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+        if (near or ids[i] == ids[j]) and label[i] != label[j]:
+            a, b = sorted((label[i], label[j]))
+            label = [a if x == b else x for x in label]
+    return list(zip(ids, map(len, sets), label))
+
+
+def near_copies():
     base = [prose(60) for _ in range(6)]
     texts = list(ODD)
     for b in base:
@@ -232,18 +247,27 @@ def test_jaccard_against_all_pairs(spark):
             for _ in range(int(RNG.integers(0, 3))):
                 v[int(RNG.integers(len(v)))] = f"n{k}"
             texts.append(" ".join(v))
-    texts += ["a b c d", "A B c d", "a b c", base[0].upper()]
-    sets = []
-    for t in texts:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-        sets.append({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set()))
-    label = list(range(len(texts)))
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and label[i] != label[j]:
-            a, b = sorted((label[i], label[j]))
-            label = [a if x == b else x for x in label]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(frame(spark, texts)).collect()}
-    assert got == {i: (len(s), label[i]) for i, s in enumerate(sets)}
+    # Many texts share a passage without being alike: large tiles without links, cut into blocks, and chains within.
+    shared = prose(12)
+    for k in range(60):
+        texts.append(f"{shared} {prose(25)}")
+        if k % 9 == 0:
+            texts.append(texts[-1] + " more")
+    return texts + ["a b c d", "A B c d", "a b c", base[0].upper()]
+
+
+@pytest.mark.parametrize("tile", [jaccard.TILE, 10])
+def test_jaccard_against_all_pairs(spark, tile):
+    texts = near_copies()
+    got = [tuple(r) for r in jaccard.similar(frame(spark, texts), tile=tile).collect()]
+    assert sorted(got) == plain_components(texts, range(len(texts)))
+
+
+def test_jaccard_with_different_texts_of_one_id(spark):
+    a, b, c = prose(40), prose(40), prose(40)
+    texts, ids = [a, b, c, f"{a} x", f"{b} x", f"{c} x", b, c], [5, 5, 7, 1, 2, 3, 9, 9]
+    rows = spark.createDataFrame([*zip(ids, texts)], "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in jaccard.similar(rows).collect()) == sorted(plain_components(texts, ids))
 
 
 def plain_links(x):
