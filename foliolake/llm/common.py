@@ -19,9 +19,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where that is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where that is unset and all runs on one machine, as in tests."""
     set_ = spark.conf.get("spark.checkpoint.dir", None)
     if not set_:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_ = f"file://{tempfile.mkdtemp(prefix='foliolake-')}"
         spark.conf.set("spark.checkpoint.dir", set_)
     return set_.rstrip("/")

@@ -12,8 +12,8 @@ rare ones.  The scan is narrow: no text is shuffled.
 The seed table is shipped with the scan.  Its size is checked: test items are taken in blocks of at most
 ``block_seeds`` seeds, each block with a scan of its own, so a large benchmark costs passes instead of memory.
 
-Cases: null and empty texts hold nothing; a score of 1 (a lone word) never counts; items of fewer than 3 words match
-nothing; repeated items each count; repeated rows give repeated pairs; an empty corpus or benchmark gives an empty
+Cases: null and empty texts hold nothing; a score of 1 (a lone word) never counts, so items of one word match
+nothing and those of two only verbatim; repeated items each count; repeated rows give repeated pairs; an empty corpus or benchmark gives an empty
 result; very long texts are scanned whole; other columns are ignored.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .shingles import SPACE, Words, runs
 
 N = 2
-#: Items of fewer words match nothing.
-SHORTEST = 3
+#: Items of fewer words match nothing; one of two is found verbatim, by its one pair.
+SHORTEST = 2
 #: Marks that stand between words like white space, so that punctuation makes no word different.
 BETWEEN = SPACE + b".,;:!?\"'()[]{}*"
 

@@ -25,4 +25,4 @@ QUERIES = {
     "op10_decontamination": decontam.op10_decontamination,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_embedding_dedup": embed_dedup.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op7_secret_scans": secrets.ORACLE, "op9_warc_revisits": warc.ORACLE}
+ORACLES = {"op2_url_filter": url_filter.ORACLE, "op4_embedding_dedup": embed_dedup.ORACLE, "op6_jaccard_join": jaccard.ORACLE, "op7_secret_scans": secrets.ORACLE, "op9_warc_revisits": warc.ORACLE}

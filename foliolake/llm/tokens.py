@@ -52,7 +52,7 @@ class Counter:
         out, call, size = [], [], 0
         for p in parts:
             call.append(p)
-            size += len(p)
+            size += len(p) if p.isascii() else len(p.encode())
             if size >= CALL_BYTES:
                 out += self.lengths(call)
                 call, size = [], 0

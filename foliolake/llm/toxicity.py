@@ -2,15 +2,16 @@
 
 The classifier is fitted on the driver, on a bounded sample of labelled rows (``max_rows``, in an order drawn by hash);
 texts are reduced to their distinct words before they are gathered.  Features are the presence of words and of their
-first 3 to 7 characters, chosen by how far their rate among toxic rows lies from the overall rate.  The loss is that of
+first 3 to 7 characters; the ``max_features`` (256) whose rate among toxic rows lies furthest from the overall rate are
+used, a documented bound of the model like ``max_rows``.  The loss is that of
 a regularised logistic regression plus ``swap_penalty`` times the squared difference between the raw score of a
 labelled text and of its counterfactual, in which every identity term is replaced by the next of its group, so mentions
-of a group carry little weight by themselves.  Every row is then scored, from its whole text, in Arrow batches.
+of a group carry little weight by themselves.  ``groups`` (an option of :func:`learn`) names the terms.  Every row is then scored, from its whole text, in Arrow batches.
 
 Cases: null and empty texts get the score of a text without features; without labelled rows of both classes every score
 is the base rate (just under 0.5 without any rows); rows whose label is null are
 not learned from, and of labels repeated for a document the greatest counts; columns other than ``doc_id`` and ``text``
-are no inputs; very long texts are scored whole.
+are no inputs; very long texts are scored whole; a row without ``doc_id`` is scored, and whether it is held out is null.
 """
 
 from __future__ import annotations

@@ -131,7 +131,7 @@ def judge(pages: DataFrame, rules=RULES, order: int = 2, beta: float = 8.0, held
     base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("text"), host.alias("host"), path.alias("path"))
     name, verdict = ruled(F.col("host"), F.col("path"), rules)
     base = base.withColumn("rule", name).withColumn("by_rule", verdict).withColumn("id", F.unhex(F.md5(F.col("text").cast("binary"))))
-    apart = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(held_out)) == 0
+    apart = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long") % held_out == 0
     accepted = F.col("by_rule") == "allow"
     scored = scores(base.select("id", "text", F.when(~apart, accepted).alias("accepted")), order, beta, fold, 32 if fold else 256)
     base = base.join(scored, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -141,4 +141,40 @@ def judge(pages: DataFrame, rules=RULES, order: int = 2, beta: float = 8.0, held
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), order=5, fold=False)
+    judged = judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), order=5, fold=False)
+    return judged.withColumns({c: F.round(c, 6) for c in ("score", "threshold")})
+
+
+def _oracle(order: int = 5, beta: float = 8.0, alphabet: int = 256, held_out: int = 5, reach: float = 4.0) -> str:
+    """The same model in SQL: a step for each length of context, then the histogram of held-out scores."""
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(RULES, key=lambda r: -len(r.name))
+    case = lambda of: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{of(r)}'" for r in longest) + " END"
+    side = lambda cut: f"CASE WHEN bin < {cut} THEN good / g ELSE bad / b END"
+    steps = [f"m_0 AS (SELECT gram, 1.0 / {alphabet} AS p1, 1.0 / {alphabet} AS p0 FROM c)"]
+    for k in range(order + 1):
+        end, context = f"substr(gram, {order - k + 1}, {k + 1})", f"substr(gram, {order - k + 1}, {k})"
+        steps += [
+            f"e_{k} AS (SELECT {end} AS x, sum(n1) AS n1, sum(n0) AS n0 FROM c GROUP BY 1)",
+            f"x_{k} AS (SELECT {context} AS x, sum(n1) AS n1, sum(n0) AS n0 FROM c GROUP BY 1)",
+            f"m_{k + 1} AS (SELECT gram, (e.n1 + {beta} * p1) / (x.n1 + {beta}) AS p1, (e.n0 + {beta} * p0) / (x.n0 + {beta}) AS p0 "
+            f"FROM m_{k} JOIN e_{k} e ON e.x = {end} JOIN x_{k} x ON x.x = {context})",
+        ]
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS t, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, t, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, {case(lambda r: r.name)} AS rule, {case(lambda r: r.verdict)} AS by_rule, ('0x' || substr(md5(t), 1, 8))::BIGINT % {held_out} = 0 AS apart FROM h),
+g AS (SELECT page_id, CASE WHEN NOT apart THEN by_rule END AS side, unnest(list_transform(range(1, length(t) + 1), lambda i: substr(repeat(chr(1), {order}) || t, i, {order + 1}))) AS gram FROM r),
+c AS (SELECT gram, count(*) FILTER (side = 'allow') AS n1, count(*) FILTER (side = 'block') AS n0 FROM g GROUP BY gram),
+{", ".join(steps)},
+s AS (SELECT page_id, avg(ln(p1) - ln(p0)) AS score FROM g JOIN m_{order + 1} USING (gram) GROUP BY page_id),
+a AS (SELECT r.*, coalesce(score, 0.0) AS score FROM r LEFT JOIN s USING (page_id)),
+b AS (SELECT greatest(0, least({BINS - 1}, floor((score + {reach}) * {BINS / (2 * reach)})))::INT AS bin, count(*) FILTER (by_rule = 'allow') AS good, count(*) FILTER (by_rule = 'block') AS bad FROM a WHERE apart AND by_rule IS NOT NULL GROUP BY 1),
+n AS (SELECT sum(good) AS g, sum(bad) AS b FROM b),
+w AS (SELECT cut, round(sum({side("cut")}), 9) AS lost FROM range({BINS + 1}) AS x(cut), b, n GROUP BY cut),
+z AS (SELECT CASE WHEN g > 0 AND b > 0 THEN (SELECT cut * {2 * reach / BINS} - {reach} FROM w ORDER BY lost, abs(cut - {BINS // 2}), cut LIMIT 1) ELSE 0.0 END AS threshold FROM n)
+SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN score >= coalesce(threshold, 0) THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score, round(coalesce(threshold, 0)::DOUBLE, 6) AS threshold FROM a, z
+"""
+
+
+ORACLE = _oracle()

@@ -1,7 +1,7 @@
 """The language model of the URL filter over real characters, against plain counts."""
 
 import math
-import zlib
+import hashlib
 from collections import Counter
 
 import pytest
@@ -19,7 +19,7 @@ def test_real_characters_and_long_contexts(spark, tmp_path):
     contexts = {True: Counter(), False: Counter()}
     padded = lambda u: "\0" * 5 + u
     for i, u in enumerate(urls):
-        if rows[i].rule and zlib.crc32(u.encode()) % 5:
+        if rows[i].rule and int(hashlib.md5(u.encode()).hexdigest()[:8], 16) % 5:
             side = rows[i].verdict == "allow"
             for j in range(5, len(padded(u))):
                 for k in range(6):
@@ -35,5 +35,5 @@ def test_real_characters_and_long_contexts(spark, tmp_path):
     for i, u in enumerate(urls):
         s = padded(u or "")
         want = sum(log_p(True, s, j) - log_p(False, s, j) for j in range(5, len(s))) / max(1, len(s) - 5)
-        assert rows[i].score == pytest.approx(want, abs=1e-9), u
+        assert rows[i].score == pytest.approx(want, abs=1e-6), u
     assert rows[62].score != rows[63].score and rows[60].score != rows[61].score
