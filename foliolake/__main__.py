@@ -8,7 +8,7 @@ import json
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from foliolake.operators import index, library, pages
+from foliolake.operators import index, pages, splitter
 from foliolake.sources import files
 
 
@@ -35,7 +35,7 @@ def search(spark, args) -> None:
 
 def split(spark, args) -> None:
     lines = lines_of(spark, args.path, "*.md").select(F.col("path").alias("doc"), "line_no", "line")
-    for r in library.boundaries(lines).orderBy("doc", "start").toLocalIterator():
+    for r in splitter.boundaries(lines).orderBy("doc", "start").toLocalIterator():
         print(json.dumps(r.asDict(), ensure_ascii=False))
 
 

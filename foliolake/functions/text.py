@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ligatures, control characters and private-use digits as they occur in extracted text.
-LIGATURES = (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬆ", "st"))
+# Ligatures (in code-point order), control characters and private-use digits as they occur in extracted text,
+# and the words before which an index term is cut, in order of preference.
+LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬆ", "st"))
 PRIVATE = "".join(chr(c) for c in range(0xF720, 0xF77F))
 PRIVATE_AS = "".join(chr(c - 0xF700) for c in range(0xF720, 0xF77F))
 CONTROL, CONTROL_AS = "\x02\x03", "ʿʾ"
@@ -31,9 +32,10 @@ def lines(c: Column) -> Column:
 
 
 def normalize_ligatures(c: Column) -> Column:
+    """Ligatures, private-use digits, control characters, and then transliteration signs."""
     for sign, letters in LIGATURES:
         c = F.replace(c, F.lit(sign), F.lit(letters))
-    return F.translate(F.translate(c, PRIVATE, PRIVATE_AS), CONTROL, CONTROL_AS)
+    return normalize_transliteration(F.translate(F.translate(c, PRIVATE, PRIVATE_AS), CONTROL, CONTROL_AS))
 
 
 def normalize_transliteration(c: Column) -> Column:
@@ -65,17 +67,18 @@ def is_page_number(c: Column) -> Column:
 
 
 def is_url_line(c: Column) -> Column:
-    return c.rlike(r"https?://\S+") & (F.length(c) < 150)
+    # Length is tested first: most long paragraphs never reach the pattern.
+    return (F.length(c) < 150) & c.rlike(r"https?://\S+")
 
 
-def is_boilerplate(c: Column) -> Column:
-    c = strip(c)
-    return is_page_number(c) | is_url_line(c)
+def is_boilerplate(c: Column, stripped: bool = False) -> Column:
+    c = c if stripped else strip(c)
+    return is_url_line(c) | ((F.length(c) < 150) & is_page_number(c))
 
 
-def is_all_caps_heading(c: Column) -> Column:
-    c = strip(c)
-    return ~c.contains("\n") & F.length(c).between(3, 120) & c.rlike(r"\p{L}") & ~c.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]")
+def is_all_caps_heading(c: Column, stripped: bool = False) -> Column:
+    c = c if stripped else strip(c)
+    return F.length(c).between(3, 120) & ~c.contains("\n") & ~c.rlike(r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]") & c.rlike(r"\p{L}")
 
 
 def is_caption(c: Column) -> Column:
@@ -134,27 +137,32 @@ def parse_page_refs(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
 
 
+#: Page numbers at the end of an index line: digits, joined by dashes or commas, one of each may follow.
+TRAILING_REFS = r",?\s*(\d+(?:[–-]\d+|[–-]?,\s*\d+)*[–-]?(?:,\s*)?)\s*$"
+
+
 def split_term_and_refs(c: Column) -> tuple[Column, Column]:
-    pattern = r"^(.*?),?\s+(\d+(?:\s*[–-]\s*\d+)?(?:\s*,\s*\d+(?:\s*[–-]\s*\d+)?)*)\s*[.;]?$"
-    term = F.regexp_extract(c, pattern, 1)
-    return F.when(term == "", strip(c)).otherwise(strip(term)), F.regexp_extract(c, pattern, 2)
+    """What stands before the trailing page numbers, and those; without any the whole line."""
+    term = F.regexp_extract(c, f"(?s)^(.*?){TRAILING_REFS}", 1)
+    return F.regexp_replace(F.when(c.rlike(TRAILING_REFS), term).otherwise(c), "[, ]+$", ""), F.regexp_extract(c, TRAILING_REFS, 1)
 
 
 def term_variants(c: Column, prepositions: bool = True) -> Column:
     """The forms under which a term may stand in a text, in order of preference."""
     t = F.lower(strip(strip_tags(c, attributes=True)))
     comma = F.instr(t, ", ") > 0
-    first, rest = strip(F.substring_index(t, ", ", 1)), strip(F.substring(t, F.instr(t, ", ") + 2, F.length(t)))
+    first, rest = F.substring_index(t, ", ", 1), F.substring(t, F.instr(t, ", ") + 2, F.length(t))
     bare = strip(strip_parentheses(t))
-    separator = F.when(t.contains(":"), ":").when(t.contains(";"), ";")
-    base = F.when(separator.isNotNull(), strip(F.element_at(F.split(t, ":|;", 2), 1)))
+    # A colon goes before a semicolon, wherever they stand.
+    before = F.when(t.contains(":"), F.substring_index(t, ":", 1)).when(t.contains(";"), F.substring_index(t, ";", 1))
+    base = F.regexp_replace(strip(before), ",+$", "")
     words = F.split(t, r"\s+")
     cut = F.lit(None).cast("string")
     for p in reversed(PREPOSITIONS if prepositions else ()):
         # The first word may be a preposition; the cut is before a later one.
         before = F.array_position(F.slice(words, F.lit(2), F.size(words)), p)
         cut = F.when((before > 0) & (F.size(words) > 2), F.array_join(F.slice(words, F.lit(1), before.cast("int")), " ")).otherwise(cut)
-    forms = F.array(t, F.when(comma, F.concat(rest, F.lit(" "), first)), F.when(comma, first), F.when(bare != t, bare), base, cut)
+    forms = F.array(t, F.when(comma, F.concat(rest, F.lit(" "), first)), F.when(comma, first), F.when(bare != t, bare), F.when(base != t, base), cut)
     return F.filter(F.array_compact(forms), lambda v: v != "")
 
 
@@ -196,6 +204,17 @@ def non_printable_share(c: Column) -> Column:
     return F.when(F.length(c) > 0, odd / F.length(c)).otherwise(0.0)
 
 
+def fix_private_use(c: Column) -> Column:
+    """Only the private-use digits and letters, as older output has them."""
+    return F.translate(c, PRIVATE, PRIVATE_AS)
+
+
+def is_toc_line(c: Column) -> Column:
+    """Whether a line lists a numbered item or a part, as a table of contents does."""
+    c = strip(c)
+    return c.rlike(r"^\d+\.\s+[A-Z]") | c.rlike(r"(?i)^PART\s+\d+\s+")
+
+
 def repair_json(c: Column) -> Column:
     """Without code fences and trailing commas; null where it still is no JSON."""
     c = F.regexp_replace(F.regexp_replace(strip(c), r"^```[a-z]*\s*", ""), r"\s*```$", "")

@@ -5,20 +5,25 @@ A block row has ``doc, ord, kind, level, footnote, text``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as T
 
 
-def detect(blocks: DataFrame) -> DataFrame:
+def detect(blocks: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Adds ``chapter`` (0 for what stands before the first level-1 heading) and ``title``.
 
     Level-1 headings with only headings between them open one chapter, whose title joins theirs; headings that are part
-    of a title go.  Without level-1 headings the first heading names the only chapter, or it is Untitled.
+    of a title go.  Without level-1 headings the first heading names the only chapter, or it is Untitled.  ``starts``
+    (``doc, ord``) names the headings that open chapters in the documents that it has rows of, whatever their levels.
     """
     by_doc = Window.partitionBy("doc").orderBy("ord")
     start = (F.col("kind") == "heading") & (F.col("level") == 1)
+    if starts is not None:
+        told = starts.select("doc", "ord").distinct().withColumn("told", F.lit(True))
+        blocks = blocks.join(told, ["doc", "ord"], "left").withColumn("any_told", F.max("told").over(Window.partitionBy("doc")))
+        start = F.when(F.col("any_told"), F.coalesce("told", F.lit(False))).otherwise(F.coalesce(start, F.lit(False)))
     up_to, before = by_doc.rowsBetween(Window.unboundedPreceding, 0), by_doc.rowsBetween(Window.unboundedPreceding, -1)
     last_start = F.max(F.when(start, F.col("ord"))).over(before)
     last_other = F.max(F.when(F.col("kind") != "heading", F.col("ord"))).over(before)
@@ -47,12 +52,17 @@ def bibliography(blocks: DataFrame) -> DataFrame:
     return blocks.filter("kind = 'reference'").select("doc", "chapter", nth.alias("n"), "text")
 
 
+def quoted(c: Column) -> Column:
+    """A text as a pattern of itself."""
+    return F.regexp_replace(c, r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
 def link_footnotes(blocks: DataFrame) -> DataFrame:
     """Body blocks with ``[^id]`` where an id of their chapter follows a word or sentence; footnote blocks go."""
     notes = footnotes(blocks).groupBy("doc", "chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "footnote")))["footnote"].alias("ids"))
     marked = F.aggregate(
         "ids", F.col("text"),
-        lambda t, i: F.regexp_replace(t, F.concat(F.lit(r"(?<=[a-zA-Z.,;:!?\"'])(\s?)("), i, F.lit(r")(?=[\s.,;:!?\"']|$)")), F.concat(F.lit("$1[^"), i, F.lit("]"))),
+        lambda t, i: F.regexp_replace(t, F.concat(F.lit(r"(?<=[a-zA-Z.,;:!?\"'])(\s?)("), quoted(i), F.lit(r")(?=[\s.,;:!?\"']|$)")), F.lit("$1[^$2]")),
     )
     out = blocks.filter("kind <> 'footnote'").join(notes, ["doc", "chapter"], "left")
     return out.withColumn("text", F.when((F.col("kind") == "body") & F.col("ids").isNotNull(), marked).otherwise(F.col("text"))).drop("ids")

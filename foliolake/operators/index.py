@@ -4,85 +4,126 @@ from __future__ import annotations
 
 import re
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliolake.functions import text as T
 
 ENTRY = "volume string, entry int, sub int, term string, refs string, see_also array<string>, raw string"
-_REFS = re.compile(r"^(?P<term>.*?),?\s+(?P<refs>\d+(?:\s*[–-]\s*\d+)?(?:\s*,\s*\d+(?:\s*[–-]\s*\d+)?)*)\s*[.;]?$")
-_SEE = re.compile(r"[.;]?\s*See also\s+(?P<to>.+?)\.?$")
+_REFS = re.compile(T.TRAILING_REFS)
+_SEE_ALSO = re.compile(r"(?i)see also\s*(.*)$")
+_SEE_ALSO_AT_END = re.compile(r"(?i)[.;]\s*see also\s*(.*?)\s*$")
+_SEE = re.compile(r"(?i).*\.\s*see\s+(.+)$")
+_CONTINUED = re.compile(r"(.+?)\s*\(cont\.\)\s*$")
 
 
-def _entries(volume: str, text: str) -> list[tuple]:
-    """Lines in their order, each taken by the first rule that fits."""
-    out: list[list] = []  # entry, sub, term, refs, see_also, raw
-    main = current = None
-    blank = waiting = False
-    previous = ""
-
-    def add(sub: bool, term: str, refs: str, raw: str):
-        nonlocal main, current
-        if sub:
-            subs = sum(1 for e in out if e[0] == main[0] and e[1] is not None)
-            current = [main[0], subs, term, refs, [], raw]
-        else:
-            main = current = [len({e[0] for e in out}), None, term, refs, [], raw]
-        out.append(current)
-
-    def split(line: str) -> tuple[str, str]:
-        m = _REFS.match(line)
-        return (m["term"].strip(), m["refs"]) if m else (line.rstrip(" ,;"), "")
-
-    for raw in text.splitlines():
-        line = raw.strip()
+class _Entry:
+    """A main entry or sub-entry while its lines are read."""
+
+    def __init__(self, term: str, refs: str, raw: str):
+        self.term, self.raw = term, raw
+        self.refs: list[str] = [refs] if refs else []
+        self.also: list[str] = []
+        self.subs: list[_Entry] = []
+
+    def goes_on(self) -> bool:
+        """Whether the last line breaks off: at a comma or semicolon, or in a word after page numbers."""
+        line = self.raw.rstrip().split("\n")[-1].rstrip()
+        return line.endswith((",", ";")) or bool(re.search(r"\d.*[a-zA-Z]$", line))
+
+
+def _split(line: str) -> tuple[str, str]:
+    m = _REFS.search(line)
+    return (line[: m.start()].rstrip(", "), m[1]) if m else (line.rstrip(", "), "")
+
+
+def _read(text: str) -> list[_Entry]:
+    """The entries of an index text; each line is taken by the first rule that fits."""
+    entries: list[_Entry] = []
+    by_term: dict[str, _Entry] = {}  # the first of each, in small letters
+    current, after_blank = None, False
+
+    def add(term: str, refs: str, raw: str) -> _Entry:
+        entries.append(_Entry(term, refs, raw))
+        return entries[-1]
+
+    for line in map(str.strip, text.splitlines()):
+        if current is not None:
+            by_term.setdefault(current.term.lower(), current)
         if not line:
-            if blank and out:
+            if after_blank and entries:
                 break
-            blank = True
+            after_blank = True
             continue
-        if re.match(r"\[\^\d+\]:|\d{4}\s+[A-Z]", line):
+        if entries and re.match(r"\[\^\d+\]:|\d{4}\s+[A-Z]", line):
             break
-        blank = False
-        if line.startswith("#") or line.startswith("N.B."):
+        after_blank = False
+        if line.startswith("#") or line[:4].upper() == "N.B.":
             continue
-        if line.startswith("See also") and current:
-            to = line[8:].strip(" .")
-            waiting = not to
-            current[4] += [x.strip() for x in to.split(";") if x.strip()]
-        elif m := re.match(r"(.+?)\s*\(cont\.\)\s*(.*)$", line):
-            term = m[1].strip()
-            found = next((e for e in out if e[1] is None and e[2].lower() == term.lower()), None)
-            if found:
-                main = current = found
-            else:
-                add(False, term, "", line)
-        elif waiting and current:
-            current[4] += [x.strip(" .") for x in line.split(";") if x.strip(" .")]
-            waiting = False
-        else:
-            also = []
-            if (m := _SEE.search(line)) and m.start():
-                also, line = [x.strip() for x in m["to"].split(";")], line[: m.start()]
-            if m := re.match(r"(.+?)\.\s+See\s+(.+)$", line):
-                add(False, m[1], "", line)
-                also += [m[2].strip(" .")]
-            elif re.match(r"\d", line) and current:
-                current[3] = ", ".join(x for x in (current[3].rstrip(", "), line) if x)
-                current[5] += " " + line
-            elif current and out and (previous.endswith((",", ";")) or (re.search(r"\d", previous) and previous[-1:].isalpha())):
-                term, refs = split(f"{current[5]} {line}")
-                current[2], current[3], current[5] = term, refs, f"{current[5]} {line}"
+        if current and (m := _SEE_ALSO.match(line)):
+            current.also.append(m[1].strip())  # nothing yet: the next line has it
+            continue
+        if m := _CONTINUED.match(line):
+            # Terms grow by continuation lines, so the table above only says where to look first.
+            wanted = m[1].strip()
+            known = by_term.get(wanted.lower())
+            if known is None or known.term.lower() != wanted.lower():
+                known = next((e for e in entries if e.term.lower() == wanted.lower()), None)
+            current = known or add(wanted, "", line)
+            continue
+        if current and current.also and not current.also[-1]:
+            current.also[-1] = line
+            continue
+        also = None
+        if m := _SEE_ALSO_AT_END.search(line):
+            line, also = line[: m.start()].rstrip(), m[1].strip()
+        if m := _SEE.match(line):
+            target = m[1].strip()
+            if target.lower().startswith("also"):
+                also = target[5:].strip()
             else:
-                add(bool(main) and (line[:1].islower() or line.startswith('"')), *split(line), line)
-            current[4] += also
-        previous = line
-    return [(volume, e, s, t, r, a, w) for e, s, t, r, a, w in out]
+                term, refs = _split(line.split(". See")[0].rstrip())
+                current = add(term or line, refs, line)
+                current.also.append(target)
+                if also is not None:
+                    current.also.append("")
+                continue
+        if current and line[:1].isdigit():
+            (current.subs[-1] if current.subs else current).refs.append(line)
+            current.raw += "\n" + line
+        elif current and current.goes_on():
+            term, refs = _split(line)
+            last = current.subs[-1] if current.subs else current
+            last.term += " " + term
+            last.refs += [refs] if refs else []
+            for e in {id(last): last, id(current): current}.values():
+                e.raw += "\n" + line
+            continue
+        elif current and (line[:1].islower() or line[:1] == '"'):
+            current.subs.append(_Entry(*_split(line), line))
+        elif line:
+            current = add(*_split(line), line)
+        if also is not None and current:
+            current.also.append(also)
+    return entries
+
+
+def _entries(volume: str, text: str) -> list[tuple]:
+    rows = []
+    for n, e in enumerate(_read(text)):
+        for k, x in enumerate([e, *e.subs]):
+            rows.append((volume, n, None if x is e else k - 1, x.term, ", ".join(r.rstrip(", ") for r in x.refs), x.also, x.raw))
+    return rows
 
 
 def parse_index(indexes: DataFrame) -> DataFrame:
-    """Entries of index texts (``volume, text``); a volume's lines are read in order, one volume at a time."""
+    """Entries of index texts (``volume, text``); a volume's lines are read in order, one volume at a time.
+
+    ``see_also`` keeps a target as it stands; an empty one was announced, but no line followed.
+    """
 
     def run(frames):
         for f in frames:
@@ -122,25 +163,67 @@ def link_references(refs: DataFrame, chapters: DataFrame) -> DataFrame:
     return met.select(*refs.columns, F.when(named, F.col("dir_name")).alias("dir_name"))
 
 
-def link_terms(terms: DataFrame, texts: DataFrame, prepositions: bool = True) -> DataFrame:
+def link_terms(terms: DataFrame, texts: DataFrame, prepositions: bool = True, block_bytes: int = 32 << 20) -> DataFrame:
     """Pairs of a term and a text that holds one of its variants: ``term_id, text_id``.
 
-    ``terms``: ``term_id, term``; ``texts``: ``text_id, text``.  Texts and variants of three words or more meet by an inner
-    word, which stands whole wherever the variant does; only shorter variants, which may begin and end inside words, are
-    gathered for a scan.
+    ``terms``: ``term_id, term``; ``texts``: ``text_id, text``; with a column ``volume`` in both, pairs are of one volume.
+    Variants are taken in blocks of at most ``block_bytes``, each with one scan: an automaton of a block finds all its
+    variants in one pass over a text, so neither texts nor their words are shuffled, and common words make no hot key.
     """
-    variants = terms.select("term_id", F.explode(F.array_distinct(T.term_variants(F.col("term"), prepositions))).alias("variant"))
-    # A variant that stands in a text has its longest inner word there as a whole word, or, with fewer than three words, may begin and end inside words.
-    inner = F.slice(F.split("variant", " ", -1), 2, F.greatest(F.size(F.split("variant", " ", -1)) - 2, F.lit(0)))
-    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    variants = variants.withColumn("key", key)
-    lowered = texts.select("text_id", F.lower("text").alias("low"))
-    long_ = variants.filter("key IS NOT NULL")
-    by_word = lowered.select("text_id", F.explode(F.array_distinct(F.split("low", " ", -1))).alias("key")).join(long_, "key").select("text_id", "term_id", "variant").distinct()
-    met = by_word.join(lowered, "text_id").filter(F.contains("low", F.col("variant"))).select("term_id", "text_id")
-    short = lowered.crossJoin(variants.filter("key IS NULL").groupBy().agg(F.collect_list(F.struct("term_id", "variant")).alias("short")))
-    rest = short.select("text_id", F.explode(F.filter("short", lambda s: F.contains(F.col("low"), s["variant"]))).alias("s")).select("s.term_id", "text_id")
-    return met.unionByName(rest).distinct()
+    volumes = "volume" in terms.columns
+    fields = [*(["volume"] if volumes else []), "term_id"]
+    variants = terms.select(*fields, F.explode(F.array_distinct(T.term_variants(F.col("term"), prepositions))).alias("variant")).filter("variant <> ''")
+    scanned = texts.select("text_id", F.lower("text").alias("low"), *([F.col("volume")] if volumes else [])).filter("low IS NOT NULL")
+    schema = f"n long, text_id {texts.schema['text_id'].dataType.simpleString()}"
+    kind = f"n long, term_id {terms.schema['term_id'].dataType.simpleString()}"
+    found, block, size = None, [], 0
+
+    def flush():
+        nonlocal found, block, size
+        part = _scan(scanned, [tuple(r)[:-1] if volumes else (None,) for r in block], [r.variant for r in block], schema)
+        ids = terms.sparkSession.createDataFrame([(i, r.term_id) for i, r in enumerate(block)], kind)
+        # A block is bounded, and so is the table of its ids.
+        met = part.join(F.broadcast(ids), "n").select("term_id", "text_id")
+        found = met if found is None else found.unionByName(met)
+        block, size = [], 0
+
+    for r in variants.toLocalIterator():
+        block.append(r)
+        size += len(r.variant) + 64
+        if size >= block_bytes:
+            flush()
+    if block or found is None:
+        flush()
+    return found.distinct()
+
+
+def _scan(texts: DataFrame, owners: list[tuple], variants: list[str], schema: str) -> DataFrame:
+    """``n, text_id``: the numbers of the variants that a text (``text_id, low``) holds."""
+    numbers: dict[str, list[int]] = {}
+    for n, v in enumerate(variants):
+        numbers.setdefault(v, []).append(n)
+
+    def run(batches):
+        automaton = ahocorasick.Automaton()
+        for v, ns in numbers.items():
+            automaton.add_word(v, ns)
+        if numbers:
+            automaton.make_automaton()
+        for b in batches:
+            n, at = [], []
+            for k, low in enumerate(b.column(1)):
+                if not numbers:
+                    break
+                seen = {id(ns): ns for _, ns in automaton.iter(low.as_py())}
+                held = [i for ns in seen.values() for i in ns]
+                if b.num_columns > 2:
+                    volume = b.column(2)[k].as_py()
+                    held = [i for i in held if owners[i][0] == volume]
+                n += held
+                at += [k] * len(held)
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), b.column(0).take(pa.array(at, pa.int64()))], ["n", "text_id"])
+
+    return texts.mapInArrow(run, schema)
 
 
 def matches(query: Column, term: Column) -> Column:
@@ -183,7 +266,58 @@ def formatted(hits: DataFrame) -> DataFrame:
     return hits.select("volume", "path", F.concat(head, F.lit("\n\n"), F.array_join("paragraphs", "\n\n")).alias("shown"))
 
 
-def linked_line(term: Column, refs: Column) -> Column:
-    """An index line as Markdown; ``refs``: ``array<struct<label,target>>`` with a null target for what has no chapter."""
-    shown = F.transform(refs, lambda r: F.when(r["target"].isNull(), r["label"]).otherwise(F.concat(F.lit("["), r["label"], F.lit("]("), r["target"], F.lit(")"))))
-    return F.when(F.size(refs) > 0, F.concat(term, F.lit(", "), F.array_join(shown, ", "))).otherwise(term)
+def label(ref: Column) -> Column:
+    """A page or a range of pages."""
+    return F.concat_ws("–", ref["start"].cast("string"), ref["end"].cast("string"))
+
+
+def chapter_label(dir_name: Column) -> Column:
+    return T.dir_label(dir_name)
+
+
+def _links_by_page(entries: DataFrame, chapters: DataFrame) -> DataFrame:
+    """``volume, entry, sub, shown, linked``: the page references of each entry, as links where their chapter names the term."""
+    refs = entries.select("volume", "entry", "sub", "term", F.posexplode("page_refs").alias("at", "ref")).withColumn("page", F.col("ref")["start"])
+    placed = link_references(refs.select("volume", "entry", "sub", "term", "at", "ref", "page"), chapters)
+    files = chapters.select("volume", "dir_name", "file").dropDuplicates(["volume", "dir_name"])
+    met = placed.join(files, ["volume", "dir_name"], "left")
+    shown = F.when(F.col("file").isNotNull(), F.concat(F.lit("["), label(F.col("ref")), F.lit("](../"), "dir_name", F.lit("/"), "file", F.lit(")"))).otherwise(label(F.col("ref")))
+    listed = F.array_join(F.array_sort(F.collect_list(F.struct("at", shown.alias("shown"))))["shown"], ", ")
+    return met.groupBy("volume", "entry", "sub").agg(listed.alias("shown"), F.max(F.col("file").isNotNull()).alias("linked"))
+
+
+def _links_by_term(entries: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The same with a link to each chapter of the volume that holds the term, for volumes without pages."""
+    key = F.struct("volume", "entry", "sub")
+    texts = chapters.select("volume", F.struct("dir_name", "file").alias("text_id"), "text")
+    pairs = link_terms(entries.select("volume", F.to_json(key).alias("term_id"), "term"), texts)
+    name = F.col("text_id.dir_name")
+    shown = F.concat(F.lit("["), chapter_label(name), F.lit("](../"), name, F.lit("/"), F.col("text_id.file"), F.lit(")"))
+    listed = F.array_join(F.array_sort(F.collect_list(F.struct(name.alias("dir_name"), shown.alias("shown"))))["shown"], ", ")
+    by_term = pairs.groupBy("term_id").agg(listed.alias("shown"))
+    return entries.select("volume", "entry", "sub", F.to_json(key).alias("term_id")).join(by_term, "term_id").select("volume", "entry", "sub", "shown", F.lit(True).alias("linked"))
+
+
+def linked_index(entries: DataFrame, chapters: DataFrame, pageless: bool = False) -> DataFrame:
+    """Indexes as Markdown with links to chapters: ``volume, markdown``.
+
+    ``entries`` from :func:`parse_index`; ``chapters``: ``volume, dir_name, page_start, page_end, file, text``.  An entry
+    with neither pages, sub-entries nor other targets stays as it was; so does a sub-entry without a link.
+    """
+    links = (_links_by_term if pageless else _links_by_page)(entries, chapters)
+    same = [F.col(f"e.{c}").eqNullSafe(F.col(f"l.{c}")) for c in ("volume", "entry", "sub")]
+    met = entries.alias("e").join(links.alias("l"), same[0] & same[1] & same[2], "left").select("e.*", "l.shown", F.coalesce("l.linked", F.lit(False)).alias("linked"))
+    plain = F.array_join(F.transform("page_refs", label), ", ")
+    raw = F.when(F.col("raw") == "", F.col("term")).otherwise(F.col("raw"))
+    shown = F.when(F.col("linked") | F.lit(not pageless), F.col("shown")).otherwise(F.when(F.size("page_refs") > 0, plain))
+    with_refs = F.when(shown.isNotNull(), F.concat("term", F.lit(", "), shown)).otherwise(F.col("term"))
+    line = F.when(F.col("sub").isNull(), with_refs).when(F.col("linked"), with_refs).otherwise(raw)
+    of_entry = F.array_sort(F.collect_list(F.struct(F.coalesce("sub", F.lit(-1)).alias("nth"), line.alias("line"))))["line"]
+    main = F.max(F.when(F.col("sub").isNull(), F.struct(raw.alias("raw"), F.size("page_refs").alias("refs"), "see_also")))
+    one = met.groupBy("volume", "entry").agg(of_entry.alias("lines"), main.alias("main"))
+    targets = F.filter("main.see_also", lambda t: t != "")
+    whole = F.concat(F.array_join("lines", "\n"), F.when(F.size(targets) > 0, F.concat(F.lit("\nSee also "), F.array_join(targets, ", "))).otherwise(""))
+    bare = (F.col("main.refs") == 0) & (F.size("lines") == 1) & (F.size("main.see_also") == 0)
+    shown_entries = one.select("volume", "entry", F.when(bare, F.col("main.raw")).otherwise(whole).alias("shown"))
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("entry", "shown")))["shown"], "\n")
+    return shown_entries.groupBy("volume").agg(F.concat(F.lit("# INDEX\n\n"), body, F.lit("\n")).alias("markdown"))

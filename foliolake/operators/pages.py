@@ -6,6 +6,7 @@ A page row has ``doc`` (document), ``page`` (its order in the document) and ``te
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,9 +17,9 @@ from foliolake.functions import text as T
 
 def edge_lines(pages: DataFrame, check: int = 3) -> DataFrame:
     """The first and last ``check`` stripped lines of each page; those of short pages come twice."""
-    of_page = F.transform(T.lines(F.col("text")), T.strip)
+    of_page = T.lines(T.strip(F.col("text")))
     ends = F.concat(F.slice(of_page, 1, check), F.slice(of_page, F.greatest(F.size(of_page) - check + 1, F.lit(1)), check))
-    return pages.select("doc", "page", F.explode(ends).alias("line"))
+    return pages.select("doc", "page", F.explode(F.transform(ends, T.strip)).alias("line"))
 
 
 def repeated_lines(pages: DataFrame, least: int = 3, check: int = 3) -> DataFrame:
@@ -30,11 +31,20 @@ def boilerplate_lines(pages: DataFrame, check: int = 3) -> DataFrame:
     return edge_lines(pages, check).filter(T.is_boilerplate(F.col("line"))).select("doc", "line").distinct()
 
 
-def without_lines(pages: DataFrame, drop: DataFrame) -> DataFrame:
-    """Pages without the lines whose stripped text is in ``drop`` (``doc, line``).
+def without_lines(pages: DataFrame, drop: DataFrame, most: int = 100_000, most_of_doc: int = 2_000) -> DataFrame:
+    """Pages without the lines whose stripped text is in ``drop`` (``doc, line``): ``doc, page, text``.
 
-    Lines meet the list one by one, so neither a document with many pages nor one with many repeated lines is gathered.
+    Lists of up to ``most`` lines, ``most_of_doc`` in a document, are broadcast, and lines go where pages lie; longer lists
+    meet the lines one by one.  Both ways give the same.
     """
+    listed = drop.select("doc", "line").distinct().groupBy("doc").agg(F.collect_set("line").alias("drop"))
+    total, longest = listed.agg(F.sum(F.size("drop")), F.max(F.size("drop"))).first()
+    if (total or 0) <= most and (longest or 0) <= most_of_doc:
+        met = pages.select("doc", "page", "text").join(F.broadcast(listed), "doc", "left").withColumn("raw", T.lines(F.coalesce("text", F.lit(""))))
+        # Hardly any line is on the list, so each page first gets its own few.
+        own = met.withColumn("drop", F.coalesce(F.array_intersect(F.transform("raw", T.strip), "drop"), F.array().cast("array<string>")))
+        kept = F.when(F.size("drop") > 0, F.filter("raw", lambda line: ~F.array_contains(F.col("drop"), T.strip(line)))).otherwise(F.col("raw"))
+        return own.select("doc", "page", F.array_join(kept, "\n").alias("text"))
     each = pages.select("doc", "page", F.posexplode(T.lines(F.col("text"))).alias("at", "raw")).withColumn("line", T.strip(F.col("raw")))
     kept = each.join(drop.select("doc", "line").distinct(), ["doc", "line"], "left_anti")
     text = kept.groupBy("doc", "page").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "raw")))["raw"], "\n").alias("text"))
@@ -46,19 +56,20 @@ def first_of_equal(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc", F.sha2("text", 256).alias("content_hash")).agg(F.min("page").alias("page"))
 
 
-def fuzzy_dedup(pages: DataFrame, same: float = 0.85) -> DataFrame:
-    """Pages that differ enough from the last kept page of their document; of two alike the longer text stays.
+def fuzzy_dedup(pages: DataFrame, same: float = 0.85, unsure: float = 0.7, ask: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """Pages that differ enough from the last kept page of their document; of two alike the page with the longer text stays.
 
     Each decision depends on the one before, so the pages of a document are folded in order.  A document is the unit of
-    work here; it is a book, not a corpus.
+    work here; it is a book, not a corpus.  Between ``unsure`` and ``same``, ``ask`` decides where it is given.
     """
 
     def fold(of_doc: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
         for doc, page, text in of_doc.sort_values("page")[["doc", "page", "text"]].itertuples(index=False):
-            if kept and difflib.SequenceMatcher(None, kept[-1][2], text).ratio() >= same:
+            ratio = difflib.SequenceMatcher(None, kept[-1][2], text).ratio() if kept else 0.0
+            if ratio >= same or (kept and ratio >= unsure and ask is not None and ask(kept[-1][2], text)):
                 if len(text) > len(kept[-1][2]):
-                    kept[-1][2] = text
+                    kept[-1] = [doc, page, text]
                 continue
             kept.append([doc, page, text])
         return pd.DataFrame(kept, columns=["doc", "page", "text"])
@@ -76,7 +87,17 @@ def gaps(pages: DataFrame, number: str = "page", block: int = 4096) -> DataFrame
     inside = n.withColumn("next", F.lead("n").over(Window.partitionBy("doc", "block").orderBy("n"))).select("doc", "n", "next")
     ends = n.groupBy("doc", "block").agg(F.min("n").alias("low"), F.max("n").alias("n"))
     between = ends.withColumn("next", F.lead("low").over(Window.partitionBy("doc").orderBy("block"))).select("doc", "n", "next")
-    return inside.unionByName(between).filter("next - n > 1").select("doc", F.explode(F.sequence(F.col("n") + 1, F.col("next") - 1)).alias("missing"))
+    gap = inside.unionByName(between).filter("next - n > 1").select("doc", (F.col("n") + 1).alias("low"), (F.col("next") - 1).alias("high"))
+    # A long gap is cut into runs first, and those of a very long one into runs of runs, so that no array is long.
+    for step in (block**3, block**2, block):
+        cut = F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / step))
+        gap = gap.withColumn("k", F.explode(cut)).select("doc", (F.col("low") + F.col("k") * step).alias("low"), F.least(F.col("high"), F.col("low") + F.col("k") * step + (step - 1)).alias("high"))
+    return gap.select("doc", F.explode(F.sequence("low", "high")).alias("missing"))
+
+
+def numbered(results: DataFrame) -> DataFrame:
+    """Adds ``number``, from 1 in the order of pages of a document, for sources that come in reading order."""
+    return results.withColumn("number", F.row_number().over(Window.partitionBy("doc").orderBy("page")))
 
 
 def reorder(pages: DataFrame, number: str = "number") -> DataFrame:
@@ -118,10 +139,10 @@ def segments(pages: DataFrame) -> DataFrame:
     """Paragraphs of raw text as blocks: ``doc, page, ord, kind, level, footnote, text``."""
     parts = F.split(T.strip(F.col("text")), r"(?U)\n\s*\n", -1)
     each = pages.withColumn("parts", parts).select("doc", "page", F.size("parts").alias("total"), F.posexplode("parts").alias("ord", "raw"))
-    each = each.withColumn("text", T.strip(F.col("raw"))).filter("text <> ''").filter(~T.is_boilerplate(F.col("text")))
+    each = each.withColumn("text", T.strip(F.col("raw"))).filter("text <> ''").filter(~T.is_boilerplate(F.col("text"), stripped=True))
     c = F.col("text")
     footnote = F.when(c.rlike(r"^(\d+)\s+\S") & (F.col("ord") >= F.floor(F.col("total") / 2)), F.regexp_extract(c, r"^(\d+)\s", 1))
-    kind = F.when(T.is_all_caps_heading(c), "heading").when(footnote.isNotNull(), "footnote").when(T.is_caption(c), "caption").otherwise("body")
+    kind = F.when(T.is_all_caps_heading(c, stripped=True), "heading").when(footnote.isNotNull(), "footnote").when(T.is_caption(c), "caption").otherwise("body")
     each = each.withColumn("kind", kind)
     return each.select("doc", "page", "ord", "kind", F.when(F.col("kind") == "heading", 2).alias("level"), F.when(F.col("kind") == "footnote", footnote).alias("footnote"), "text")
 
