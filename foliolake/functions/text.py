@@ -188,7 +188,7 @@ def dir_label(c: Column) -> Column:
 
 def citation_style(c: Column) -> Column:
     bracket = F.regexp_count(c, F.lit(r"\[(\d+)\]"))
-    author = F.regexp_count(c, F.lit(r"\(([A-Z][A-Za-z]+(?:\s+(?:et al\.|and\s+[A-Z][A-Za-z]+))?,\s*\d{4})\)"))
+    author = F.regexp_count(c, F.lit(r"\(([A-Z][a-z]+(?:\s+(?:et\s+al\.?|and\s+[A-Z][a-z]+))?,?\s+\d{4})\)"))
     return F.when(bracket > author, "bracket_number").when(author > 0, "author_year").otherwise("unknown")
 
 

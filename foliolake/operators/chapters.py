@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from foliolake.functions import text as T
 
 
-def detect(blocks: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+def assigned(blocks: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """Adds ``chapter`` (0 for what stands before the first level-1 heading) and ``title``.
 
-    Level-1 headings with only headings between them open one chapter, whose title joins theirs; headings that are part
-    of a title go.  Without level-1 headings the first heading names the only chapter, or it is Untitled.  ``starts``
+    Level-1 headings with only headings between them open one chapter, whose title joins theirs; ``in_title`` marks headings
+    that are part of a title.  Without level-1 headings the first heading names the only chapter, or it is Untitled.  ``starts``
     (``doc, ord``) names the headings that open chapters in the documents that it has rows of, whatever their levels.
     """
     by_doc = Window.partitionBy("doc").orderBy("ord")
@@ -35,7 +35,12 @@ def detect(blocks: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     title = F.when(F.col("chapters") == 0, F.coalesce("first_heading", F.lit("Untitled"))).otherwise(F.coalesce("title", F.lit("Front Matter")))
     out = out.withColumn("title", title)
     gone = (F.col("kind") == "heading") & F.when(F.col("chapters") == 0, F.col("ord") == F.col("first_ord")).otherwise((F.col("chapter") > 0) & F.col("title").contains(F.col("text")))
-    return out.filter(~F.coalesce(gone, F.lit(False))).select("doc", "chapter", "title", "ord", "kind", "level", "footnote", "text")
+    return out.select("doc", "chapter", "title", "ord", "kind", "level", "footnote", "text", F.coalesce(gone, F.lit(False)).alias("in_title"))
+
+
+def detect(blocks: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """Blocks with ``chapter`` and ``title``, without the headings that make the titles."""
+    return assigned(blocks, starts).filter("NOT in_title").drop("in_title")
 
 
 def footnotes(blocks: DataFrame) -> DataFrame:
@@ -80,16 +85,38 @@ def merge_bodies(blocks: DataFrame) -> DataFrame:
     return one.select("doc", "chapter", "title", "ord", "kind", "level", text.alias("text"))
 
 
-def render(blocks: DataFrame, notes: DataFrame | None = None) -> DataFrame:
-    """A chapter as Markdown: ``doc, chapter, title, markdown``."""
-    level = F.coalesce("level", F.lit(1))
-    line = F.when(F.col("kind") == "heading", F.concat(F.when(level <= 2, F.repeat(F.lit("#"), level + 1)).otherwise("####"), F.lit(" "), F.col("text"))).when(F.col("kind") == "caption", F.concat(F.lit("> "), F.col("text"))).when(F.col("kind") == "index", F.concat(F.lit("- "), F.col("text"))).when(F.col("kind") == "body", F.col("text"))
-    body = blocks.withColumn("line", line).groupBy("doc", "chapter").agg(F.first("title").alias("title"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("ord", F.concat("line", F.lit("\n")).alias("line")))))["line"], "\n").alias("body"))
-    if notes is None:
-        tail = F.lit("")
-    else:
-        number = F.col("footnote").rlike(r"^\d+$")
-        key = F.struct((~number).alias("named"), F.when(number, F.lpad("footnote", 10, "0")).otherwise(F.col("footnote")).alias("key"), F.concat(F.lit("[^"), "footnote", F.lit("]: "), "text").alias("line"))
-        body = body.join(notes.groupBy("doc", "chapter").agg(F.array_join(F.array_sort(F.collect_list(key))["line"], "\n").alias("notes")), ["doc", "chapter"], "left")
-        tail = F.when(F.col("notes").isNotNull(), F.concat(F.lit("\n"), "notes", F.lit("\n"))).otherwise("")
-    return body.select("doc", "chapter", "title", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), "body", tail).alias("markdown"))
+def render(blocks: DataFrame, notes: DataFrame | None = None, references: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """A chapter as Markdown: ``doc, chapter, title, markdown``.
+
+    ``notes`` and ``references`` (from :func:`footnotes` and :func:`bibliography`) follow the blocks; ``titles`` (``doc,
+    chapter, title``) names the chapters, also those without blocks.
+    """
+    keys = ["doc", "chapter"]
+    level = F.coalesce("level", F.lit(2))
+    # A blank line follows all but the entries of an index.
+    piece = (
+        F.when(F.col("kind") == "heading", F.concat(F.when(level <= 2, F.repeat(F.lit("#"), level + 1)).otherwise("####"), F.lit(" "), F.col("text"), F.lit("\n")))
+        .when(F.col("kind") == "caption", F.concat(F.lit("> "), F.col("text"), F.lit("\n")))
+        .when(F.col("kind") == "index", F.concat(F.lit("- "), F.col("text")))
+        .when(F.col("kind") == "body", F.concat(F.col("text"), F.lit("\n")))
+    )
+
+    def in_order(rows: DataFrame, order, line, name: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(*order, line.alias("line")))))["line"]
+        return rows.groupBy(*keys).agg(listed.alias(name))
+
+    number = F.col("footnote").rlike(r"^\d+$")
+    note_order = [(~number).alias("named"), F.when(number, F.lpad(F.regexp_replace("footnote", "^0+(?=.)", ""), 10, "0")).otherwise(F.col("footnote")).alias("key")]
+    body = (titles if titles is not None else blocks.groupBy(*keys).agg(F.first("title").alias("title"))).select(*keys, "title")
+    body = body.join(in_order(blocks, ["ord"], piece, "pieces"), keys, "left")
+    none = F.array().cast("array<string>")
+    parts = [F.array(F.concat(F.lit("# "), F.col("title"), F.lit("\n"))), F.coalesce("pieces", none)]
+    if notes is not None:
+        body = body.join(in_order(notes, note_order, F.concat(F.lit("[^"), "footnote", F.lit("]: "), "text"), "notes"), keys, "left")
+        parts.append(F.when(F.size("notes") > 0, F.concat(F.array(F.lit("")), "notes", F.array(F.lit("")))).otherwise(none))
+    if references is not None:
+        line = F.concat(F.col("n").cast("string"), F.lit(". "), "text")
+        body = body.join(in_order(references, ["n"], line, "references"), keys, "left")
+        head = F.array(F.lit(""), F.lit("## References"), F.lit(""))
+        parts.append(F.when(F.size("references") > 0, F.concat(head, "references", F.array(F.lit("")))).otherwise(none))
+    return body.select("doc", "chapter", "title", F.array_join(F.concat(*parts), "\n").alias("markdown"))

@@ -72,7 +72,7 @@ def test_chapters(spark):
     merged = chapters.merge_bodies(chapters.link_footnotes(found)).filter("chapter = 1").collect()
     assert [r.text for r in merged] == ["the quick brown fox jumps.[^1] It"]
     shown = chapters.render(chapters.merge_bodies(chapters.link_footnotes(found)), chapters.footnotes(found)).filter("chapter = 1").first().markdown
-    assert shown == "# Chapter 1\n\nthe quick brown fox jumps.[^1] It\n\n[^1]: note\n"
+    assert shown == "# Chapter 1\n\nthe quick brown fox jumps.[^1] It\n\n\n[^1]: note\n"
 
 
 def test_index(spark):
