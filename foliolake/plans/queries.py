@@ -42,16 +42,20 @@ def digest(c):
     return F.sha2(c, 256)
 
 
-@query("SELECT doc_id, sha256(replace(replace(replace(replace(text, 'fi', chr(64257)), 'ff', chr(64256)), chr(64257), 'fi'), chr(64256), 'ff')) AS h FROM documents")
+#: Dots below, where signs of transliteration stand beside their letters (the tables have dots only).
+_DOTS = "regexp_replace(regexp_replace({}, '([A-Za-z])\\.([ıa-z])', '\\1' || chr(803) || '\\2', 'g'), '([A-Za-z])\\.([ıa-z])', '\\1' || chr(803) || '\\2', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_DOTS.format('text')}) AS h FROM documents")
 def t01_ligatures(spark, sf_dir):
     """Ligatures that stand for letters become letters again."""
     joined = F.replace(F.replace("text", F.lit("fi"), F.lit("ﬁ")), F.lit("ff"), F.lit("ﬀ"))
     return table(spark, sf_dir, "documents").select("doc_id", digest(T.normalize_ligatures(joined)).alias("h"))
 
 
-@query("SELECT doc_id, sha256(text) AS h FROM documents")
+@query(f"""SELECT doc_id, sha256({_DOTS.format("translate(text, 'AE0', 'BF1')")}) AS h FROM documents""")
 def t02_private_use(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", digest(T.normalize_ligatures(F.translate("text", T.PRIVATE_AS, T.PRIVATE))).alias("h"))
+    return table(spark, sf_dir, "documents").select("doc_id", digest(T.normalize_ligatures(F.translate("text", "AE0", "\uf742\uf746\uf731"))).alias("h"))
 
 
 @query("SELECT doc_id, sha256(regexp_replace(replace(text, 'an', E'a-\\nn'), '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g')) AS h FROM documents")
@@ -80,10 +84,12 @@ def t16_word_count(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.count_words(T.body(F.col("text"))).cast("long").alias("words"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'bracket_number' WHEN doc_id % 3 = 1 THEN 'author_year' ELSE 'unknown' END AS style FROM documents""")
+@query("""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'bracket_number' WHEN 1 THEN 'author_year' WHEN 2 THEN 'author_year' WHEN 3 THEN 'author_year' WHEN 4 THEN 'author_year' WHEN 5 THEN 'unknown' ELSE 'unknown' END AS style FROM documents""")
 def t23_citation_style(spark, sf_dir):
-    cited = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " [1] [2]").when(F.col("doc_id") % 3 == 1, " (Smith et al., 2020)").otherwise(""))
-    return table(spark, sf_dir, "documents").select("doc_id", T.citation_style(cited).alias("style"))
+    """Brackets must be more than names with years; a small letter, a name without a year or a lone year count for nothing."""
+    forms = [" [1] (Smith 2020) [2]", " (Smith 2020)", " (Smith et al., 2020) [7]", " (Smith and Jones, 2020)", " (Smith et al 1999) [3]", " (smith, 2020) (McCoy, 2020)", " (2020) (Smith)"]
+    k = (F.col("doc_id") % 7 + 1).cast("int")
+    return table(spark, sf_dir, "documents").select("doc_id", T.citation_style(F.concat("text", F.element_at(F.array(*[F.lit(f) for f in forms]), k))).alias("style"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN length(e) >= length(s) THEN e::INT ELSE (substr(s, 1, length(s) - length(e)) || e)::INT END AS page_end
@@ -146,7 +152,12 @@ def _blocks(spark, sf_dir):
     return t.select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), F.when(head, "heading").otherwise("body").alias("kind"), F.when(head, 1).alias("level"), F.lit(None).cast("string").alias("footnote"), "text")
 
 
-@query()
+@query("""WITH b AS (SELECT conv_id AS doc, turn AS ord, role = 'user' AND turn % 4 = 2 AS head, text FROM conversations),
+s AS (SELECT *, max(CASE WHEN head THEN ord END) OVER w AS last_head, max(CASE WHEN NOT head THEN ord END) OVER w AS last_other FROM b WINDOW w AS (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, sum((head AND (last_head IS NULL OR coalesce(last_other > last_head, false)))::INT) OVER (PARTITION BY doc ORDER BY ord)::BIGINT AS chapter FROM s),
+t AS (SELECT doc, chapter, string_agg(text, ' — ' ORDER BY ord) AS title FROM c WHERE head AND chapter > 0 GROUP BY ALL), m AS (SELECT doc, max(chapter) AS chapters FROM c GROUP BY doc),
+x AS (SELECT c.*, CASE WHEN chapters = 0 THEN 'Untitled' ELSE coalesce(t.title, 'Front Matter') END AS title FROM c JOIN m ON m.doc = c.doc LEFT JOIN t ON t.doc = c.doc AND t.chapter = c.chapter)
+SELECT doc, chapter, ord, CASE WHEN head THEN 'heading' ELSE 'body' END AS kind, sha256(title) AS title_hash FROM x WHERE NOT (head AND chapter > 0 AND contains(title, text))""")
 def c06_chapters(spark, sf_dir):
     return C.detect(_blocks(spark, sf_dir)).select("doc", "chapter", "ord", "kind", digest(F.col("title")).alias("title_hash"))
 
@@ -167,21 +178,26 @@ def j01_page_to_chapter(spark, sf_dir):
     return I.chapter_of_page(refs, chapters).select("page", "dir_name")
 
 
-@query("""SELECT item_id AS term_id, doc_id AS text_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(trim(b.text)))
-OR (contains(b.text, ', ') AND contains(lower(d.text), lower(trim(string_split(b.text, ', ')[1]))))
-OR (contains(b.text, ', ') AND contains(lower(d.text), lower(trim(substr(b.text, instr(b.text, ', ') + 2)) || ' ' || trim(string_split(b.text, ', ')[1]))))""")
+#: The words in their order of preference, before the first of which that a term holds it is cut.
+_CUTS = ", ".join(f"CASE WHEN list_position(w[2:], '{p}') > 0 THEN array_to_string(w[1:list_position(w[2:], '{p}')], ' ') END" for p in T.PREPOSITIONS)
+_TERMS_IN_TEXTS = f"""WITH t AS (SELECT item_id, low, regexp_split_to_array(low, '\\s+') AS w, CASE WHEN contains(low, ':') THEN string_split(low, ':')[1] WHEN contains(low, ';') THEN string_split(low, ';')[1] END AS base
+FROM (SELECT item_id, lower(trim(regexp_replace(text, '</?(?:b|i|math|sup|a)[^>]*>', '', 'g'), E' \\n\\t')) AS low FROM benchmark)),
+v AS (SELECT item_id, low AS v FROM t UNION SELECT item_id, substr(low, strpos(low, ', ') + 2) || ' ' || string_split(low, ', ')[1] FROM t WHERE contains(low, ', ') UNION SELECT item_id, string_split(low, ', ')[1] FROM t WHERE contains(low, ', ')
+UNION SELECT item_id, trim(regexp_replace(low, '\\s*\\([^)]*\\)', '', 'g')) FROM t UNION SELECT item_id, rtrim(trim(base), ',') FROM t WHERE base IS NOT NULL UNION SELECT item_id, coalesce({_CUTS}) FROM t WHERE len(w) > 2)
+SELECT DISTINCT item_id AS term_id, doc_id AS text_id FROM v JOIN documents d ON v <> '' AND contains(lower(d.text), v)"""
+
+
+@query(_TERMS_IN_TEXTS)
 def j03_terms_in_texts(spark, sf_dir):
-    # This query and its SQL leave out the variants cut before a preposition; the next query has all variants.
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return I.link_terms(terms, texts, prepositions=False)
+    return I.link_terms(terms, texts)
 
 
-@query()
+@query(_TERMS_IN_TEXTS)
 def j03_terms_in_texts_all_variants(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return I.link_terms(terms, texts)
+    """The same under its former name."""
+    return j03_terms_in_texts(spark, sf_dir)
 
 
 @query("""SELECT volume, chapter, words, coalesce(sum(words) OVER (PARTITION BY volume ORDER BY chapter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS words_before
@@ -208,7 +224,7 @@ def a13_non_printable(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.non_printable_share(F.col("text")).cast("double").alias("share"))
 
 
-@query("SELECT doc_id, sha256(translate(text, 'qx', chr(703) || chr(702))) AS h FROM documents")
+@query(f"""SELECT doc_id, sha256({_DOTS.format("translate(text, 'qx', chr(703) || chr(702))")}) AS h FROM documents""")
 def t03_control_characters(spark, sf_dir):
     """Control characters that stand for the signs of ayn and hamza."""
     return table(spark, sf_dir, "documents").select("doc_id", digest(T.normalize_ligatures(F.translate("text", "qx", T.CONTROL))).alias("h"))
@@ -243,17 +259,22 @@ def t17_linked_lines(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", term.alias("term"), F.explode(links).alias("l")).select("o_orderkey", "term", "l.*")
 
 
-@query("SELECT o_orderkey, o_custkey::INT AS s1, (o_custkey + 3)::INT AS e1, (o_orderkey % 500)::INT AS s2, NULL::INT AS e2 FROM orders")
+@query("""SELECT o_orderkey, o_custkey::INT AS s1, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 3 END::INT AS e1, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 500 END::INT AS s2, CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey % 500 END::INT AS e2 FROM orders""")
 def t18_page_references(spark, sf_dir):
-    refs = T.parse_page_refs(F.format_string("%d–%d, %d", F.col("o_custkey"), F.col("o_custkey") + 3, F.col("o_orderkey") % 500))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", refs.alias("r"))
+    """A range and a page, a page and a range with a hyphen and blanks, a page among words."""
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    text = F.when(k % 3 == 0, F.format_string("%d–%d, %d", c, c + 3, k % 500)).when(k % 3 == 1, F.format_string("p. %d; %d - %d.", c, k % 500, k % 500)).otherwise(F.format_string("see %dff –", c))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", T.parse_page_refs(text).alias("r"))
     return o.select("o_orderkey", *[F.get("r", k)[f].alias(f"{f[0]}{k + 1}") for k in (0, 1) for f in ("start", "end")])
 
 
-@query("SELECT c_custkey, c_name AS term, c_custkey || ', ' || (c_custkey + 1) || '-' || (c_custkey + 4) AS refs FROM customer")
+@query("""SELECT c_custkey, CASE k % 6 WHEN 0 THEN 'abacus' WHEN 1 THEN 'abacus, old' WHEN 2 THEN 'Abelard, Peter' WHEN 3 THEN 'term ' || k || ', 2-5.' WHEN 4 THEN 'no pages' ELSE 'Apollo' END AS term,
+CASE k % 6 WHEN 0 THEN k::VARCHAR WHEN 1 THEN k || ', ' || k + 1 || '–' || k + 4 WHEN 2 THEN k || '-' || k + 3 || ', ' WHEN 3 THEN '' WHEN 4 THEN '' ELSE k || ',12' END AS refs FROM (SELECT c_custkey, c_custkey AS k FROM customer)""")
 def t20_term_and_references(spark, sf_dir):
+    """Pages after a comma with or without a blank, ranges, a comma at the end, a full stop, none, a number in the term."""
     k = F.col("c_custkey")
-    term, refs = T.split_term_and_refs(F.concat("c_name", F.format_string(", %d, %d-%d.", k, k + 1, k + 4)))
+    forms = [F.format_string("abacus,%d", k), F.format_string("abacus, old, %d, %d–%d", k, k + 1, k + 4), F.format_string("Abelard, Peter %d-%d, ", k, k + 3), F.format_string("term %d, 2-5.", k), F.lit("no pages, "), F.format_string("Apollo%d,12", k)]
+    term, refs = T.split_term_and_refs(F.element_at(F.array(*forms), (k % 6 + 1).cast("int")))
     return table(spark, sf_dir, "customer").select("c_custkey", term.alias("term"), refs.alias("refs"))
 
 
@@ -381,13 +402,17 @@ def k10_formatted_hits(spark, sf_dir):
     return I.formatted(hits)
 
 
-@query("SELECT c_nationkey::VARCHAR AS volume, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS entry, c_name AS term, c_custkey || ', ' || c_custkey + 2 AS refs FROM customer")
+@query("""WITH c AS (SELECT c_nationkey::VARCHAR AS volume, c_custkey AS k, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1)::INT AS entry, chr((97 + c_custkey % 26)::INT) AS x FROM customer)
+SELECT volume, entry, CASE s WHEN 0 THEN NULL ELSE s - 1 END::INT AS sub, CASE s WHEN 0 THEN 'Term ' || x WHEN 1 THEN 'of ' || x || ' and its ends' ELSE '"quoted" part' END AS term,
+CASE s WHEN 0 THEN k || ', ' || k + 2 WHEN 1 THEN k + 5 || '–' || k + 7 ELSE k + 9 || ', ' || k + 11 END AS refs, CASE WHEN s = 0 THEN 'Elea ' || x || '; Naples' ELSE '' END AS also FROM c JOIN (SELECT unnest([0, 1, 2]) AS s) ON true""")
 def c11_index_entries(spark, sf_dir):
-    """Customers of a nation as the lines of an index, read back as entries."""
+    """An index with sub-entries, wrapped lines, pages on the next line, other targets on their own line, blank lines and headings."""
     k = F.col("c_custkey")
-    line = F.concat("c_name", F.format_string(", %d, %d", k, k + 2))
+    x = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (k % 26 + 1).cast("int"), F.lit(1))
+    line = F.concat(F.format_string("# %d\nTerm ", k), x, F.format_string(", %d, %d. See also\nElea ", k, k + 2), x, F.lit("; Naples\n\nof "), x, F.format_string(" and its ends, %d–%d\n\"quoted\" part, %d\n%d", k + 5, k + 7, k + 9, k + 11))
     lines = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("string").alias("volume")).agg(F.array_sort(F.collect_list(F.struct(k, line.alias("line"))))["line"].alias("lines"))
-    return I.parse_index(lines.select("volume", F.array_join("lines", "\n").alias("text"))).select("volume", "entry", "term", "refs")
+    found = I.parse_index(lines.select("volume", F.array_join("lines", "\n").alias("text")))
+    return found.select("volume", "entry", "sub", "term", "refs", F.array_join("see_also", " | ").alias("also"))
 
 
 def flagship(spark, sf_dir):

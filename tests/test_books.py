@@ -216,3 +216,64 @@ def test_client_tries_again(monkeypatch):
     assert waits == [1, 2]
     with pytest.raises(RuntimeError):
         asked.sync("a", "b", [], command="false")
+
+
+def test_fuzzy_duplicates_against_a_plain_fold(spark):
+    import difflib
+
+    from foliolake.operators import pages
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = []
+    for doc in range(5):
+        text = ""
+        for page in range(12):
+            fresh = " ".join(rng.choice(words, 12))
+            text = fresh if not text or rng.random() < 0.5 else text + " x" if rng.random() < 0.5 else text[: int(len(text) * rng.uniform(0.7, 1))]
+            rows.append((doc, page, text))
+    want = []
+    for doc in range(5):
+        kept = []
+        for _, page, text in [r for r in rows if r[0] == doc]:
+            if kept and difflib.SequenceMatcher(None, kept[-1][1], text).ratio() >= 0.85:
+                if len(text) > len(kept[-1][1]):
+                    kept[-1] = (page, text)
+            else:
+                kept.append((page, text))
+        want += [(doc, *k) for k in kept]
+    got = pages.fuzzy_dedup(spark.createDataFrame(rows, "doc long, page long, text string").repartition(4))
+    assert sorted(tuple(r) for r in got.collect()) == want and 5 < len(want) < 55
+
+
+def test_long_drop_lists_meet_lines_one_by_one(spark):
+    from foliolake.operators import pages
+
+    rows = [("d", i, f" HEAD \nbody {i}\nFOOT\n") for i in range(4)] + [("e", 0, "HEAD\nx"), ("d", 9, None)]
+    of = spark.createDataFrame(rows, "doc string, page long, text string")
+    drop = spark.createDataFrame([("d", "HEAD"), ("d", "FOOT")], "doc string, line string")
+    one, other = (sorted(tuple(r) for r in pages.without_lines(of, drop, most=n).collect()) for n in (100, 1))
+    assert one == other == [*[("d", i, f"body {i}") for i in range(4)], ("d", 9, ""), ("e", 0, "HEAD\nx")]
+
+
+def test_very_long_gaps(spark):
+    from foliolake.operators import pages
+
+    of = spark.createDataFrame([("d", 1), ("d", 10**7)], "doc string, page long")
+    got = pages.gaps(of).agg({"missing": "sum", "*": "count"}).first()
+    assert tuple(got) == (10**7 - 2, sum(range(2, 10**7))) or tuple(got) == (sum(range(2, 10**7)), 10**7 - 2)
+
+
+def test_pages_on_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from foliolake.streaming import pages as streamed
+
+    at = datetime(2024, 1, 1)
+    for i, rows in enumerate([[("d", 0, "a", at), ("d", 1, "b", at)], [("d", 2, "a", at), ("e", 0, "a", at)]]):
+        spark.createDataFrame(rows, "doc string, page long, text string, at timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    read = streamed.read_pages(spark, str(tmp_path / "in/*"))
+    query = streamed.first_of_equal(read).writeStream.format("memory").queryName("first_pages").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    got = {(r.doc, r.text) for r in spark.table("first_pages").collect()}
+    assert got == {("d", "a"), ("d", "b"), ("e", "a")} and spark.table("first_pages").count() == 3
