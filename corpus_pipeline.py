@@ -10,14 +10,19 @@ from foliolake.llm.common import new_folder, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are scored like texts without features; rows without an id are scored like others; without
+    labels of both kinds nothing is rejected; an empty table stays empty.
+    """
     return toxicity.keep_clean(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by near-duplicate links the one with the smallest id stays; of rows with one id, one row.
 
-    Rows without an id link with nothing and stay.
+    Rows without an id link with nothing and stay, as do rows without words.  The row kept of one id is the first by its
+    text's digest and its columns as JSON, so it does not depend on the order of rows.
     """
     linked = F.coalesce(F.max(F.col("doc_id") != F.col("component_id")), F.lit(False))
     by_id = jaccard.similar(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(linked.alias("linked"), F.count("*").alias("n"))
@@ -26,21 +31,23 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     repeated = gone.filter("NOT linked").select("doc_id")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.min_by(row, F.struct(F.sha2(F.coalesce("text", F.lit("")), 256), F.to_json(row)))
+    return kept.unionByName(docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("_row")).select("_row.*").select(docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item go."""
+    """Documents that hold a test item go; null and empty texts hold none, and rows that share an id go together."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts become a mark."""
+    """Secrets in texts become a mark, and ``n_chars`` is that of the new text; all rows stay, null texts stay null."""
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place in token-budget batches of length buckets."""
+    """Each document's place in token-budget batches of length buckets; null and empty texts have length 0."""
     return packing.pack(docs)
 
 
