@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a filter of ids, as a power of two.
 FILTER_BITS = 26
+#: Rows of a narrow table that is broadcast at most.
+BROADCAST_ROWS = 500_000
 #: Words of the operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,6 +50,11 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, a written table of few bytes a row, marked for broadcast where it has at most ``most`` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0))
 

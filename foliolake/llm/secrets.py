@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, written
+from .common import if_small, new_folder, written
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,8 @@ SPAN = "array<struct<start:int,end:int>>"
 LEDGER = f"blob string, kind string, version int, found {SPAN}"
 #: Matches whose places are summed up together; parts that the paths of one blob are dealt into.
 RUN, SALTS = 64, 8
+#: Blobs that are told apart by a broadcast at most (about 200 bytes each), and documents and spans of a broadcast redaction.
+SPECIAL, LEAKY, LEAKY_SPANS = 100_000, 100_000, 1_000_000
 
 
 def let(value: Column, use) -> Column:
@@ -91,17 +93,22 @@ def _named(history: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def unseen(history: DataFrame, keys: list[str], rules=RULES, ledger: DataFrame | None = None) -> DataFrame:
-    """Scans what the ledger lacks: its new rows ``blob, kind, version, found``."""
-    named = _named(history, keys)
-    # One row stands for each blob.  Only keys are gathered for that; the texts meet the chosen keys in a semi-join.
-    first = named.groupBy("blob").agg(F.min(F.struct(*keys)).alias("key"))
+    """Scans what the ledger lacks: its new rows ``blob, kind, version, found``.
+
+    One row stands for each blob.  Only blobs that several rows hold or that the ledger knows need to be told apart; where
+    they are few they are broadcast, so texts are scanned where they lie, and else texts meet them in a join.
+    """
+    named = _named(history, keys).withColumn("key", F.struct(*keys))
+    special = named.groupBy("blob").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     if ledger is not None:
         known = ledger.filter(" OR ".join(f"(kind = '{r.kind}' AND version = {r.version})" for r in rules) or "false")
-        first = first.join(known.groupBy("blob").agg(F.collect_set("kind").alias("seen")), "blob", "left")
-        first = first.filter(F.size(F.array_except(F.array(*[F.lit(r.kind) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))) > 0)
+        special = special.join(known.groupBy("blob").agg(F.collect_set("kind").alias("seen")), "blob", "left").filter("n > 1 OR seen IS NOT NULL")
     else:
-        first = first.withColumn("seen", F.array().cast("array<string>"))
-    once = named.select("blob", F.struct(*keys).alias("key"), "text").join(first, ["blob", "key"])
+        special = special.filter("n > 1").withColumn("seen", F.array().cast("array<string>"))
+    special = if_small(written(special.select("blob", "first", "seen"), "special-blobs"), SPECIAL)
+    met = named.select("blob", "key", "text").join(special, "blob", "left")
+    wanted = F.size(F.array_except(F.array(*[F.lit(r.kind) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))) > 0
+    once = met.filter(F.coalesce(F.col("key") == F.col("first"), F.lit(True)) & wanted)
     new = lambda r: ~F.coalesce(F.array_contains("seen", r.kind), F.lit(False))
     found = once.select("blob", *[F.when(new(r), spans(F.col("text"), r)).alias(r.kind) for r in rules])
     # Repeated rows may have left a blob twice; its findings are the same.
@@ -195,6 +202,9 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     merged = let(every, cut_out)
     leaky = found.filter(" OR ".join(f"size({k}) > 0" for k in kinds)).dropDuplicates(["doc_id", "blob"]).select("doc_id", "blob", *kinds)
+    leaky = written(leaky, "leaky")
+    if (leaky.agg(F.sum(sum((F.size(k) for k in kinds), F.lit(0)))).first()[0] or 0) <= LEAKY_SPANS:
+        leaky = if_small(leaky, LEAKY)
     same = F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("l.blob"))
     clean = F.when(F.col("l.blob").isNull(), text).otherwise(merged)
     out = {"text": clean, "n_chars": F.length(clean).cast("long")}
