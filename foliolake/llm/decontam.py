@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import if_small, written
 from .shingles import SPACE, Words, runs
 
 N = 2
@@ -149,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that hold no test item; rows with the same ``doc_id`` (null equals null) stay or go together."""
-    leaks = contaminated(docs, benchmark, **options).select("doc_id").distinct()
+    leaks = if_small(written(contaminated(docs, benchmark, **options).select("doc_id").distinct(), "leaks"))
     return docs.alias("d").join(leaks.alias("l"), F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")), "left_anti")
 
 
