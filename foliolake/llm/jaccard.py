@@ -37,6 +37,8 @@ from .shingles import Words, distinct, runs
 CELLS, BLOCK, SMALL, HEADS = 1 << 20, 1 << 15, 16, 8
 #: Members of a block of a tile in the second round; it doubles while more than CUT tiles are above it, which bounds what is shipped.
 TILE, CUT = 4096, 1 << 20
+#: Postings, with their signatures, that a task holds before it hands them on.
+FLUSH_BYTES = 16 << 20
 
 
 def shingle_set(words: Words, text: str | None, n: int = 5) -> np.ndarray:
@@ -157,7 +159,7 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles:
 
     def run(batches):
         keep = None if only is None else Filter(only)
-        held, bits, size = [], [], 0
+        held, bits, size = [], [], 0  # the last in bytes
 
         def flush():
             rows = np.concatenate(held)
@@ -180,10 +182,11 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles:
                     rows["before"][1:] = tokens[:-1]
                     rows, _ = in_blocks(rows[keep.has(tokens)], tiles, block)
                     bits += [b.column("signature")[k].as_py()] * len(rows)
+                    size += len(rows) * len(bits[-1]) if len(rows) else 0
                 if len(rows):
                     held.append(rows)
-                    size += len(rows)
-                if size > 500_000:
+                    size += rows.nbytes
+                if size > FLUSH_BYTES:
                     yield flush()
                     held, bits, size = [], [], 0
         if held:
