@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontam, jaccard, packing, secrets, toxicity
-from foliolake.llm.common import new_folder, written
+from foliolake.llm.common import if_small, new_folder, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     linked = F.coalesce(F.max(F.col("doc_id") != F.col("component_id")), F.lit(False))
     by_id = jaccard.similar(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(linked.alias("linked"), F.count("*").alias("n"))
     gone = written(by_id.filter("linked OR n > 1"), "groups")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(if_small(gone.select("doc_id")), "doc_id", "left_anti").select(docs.columns)
     repeated = gone.filter("NOT linked").select("doc_id")
     if repeated.isEmpty():
         return kept
