@@ -293,7 +293,7 @@ def verified(found: DataFrame, base: DataFrame, cosine: float, tables: int, proj
     return met.groupBy("bucket").applyInArrow(bucket_of, "id long, n long, root long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.98, cell_rows: int = 512, projections: int = 64, block: int = 4096, bucket_bytes: int = 24 << 20) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.98, cell_rows: int = 2048, projections: int = 64, block: int = 8192, bucket_bytes: int = 24 << 20) -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``."""
     spark = vectors.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
