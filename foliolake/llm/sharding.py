@@ -12,7 +12,7 @@ Rows are numbered in *cells*, of which a group or parcel has as many as bring ea
 the rows, so no task numbers a hot group.  A torn group is packed by its cells, the others as a whole; the cell table that
 is broadcast is bounded like the items.
 
-Cases: null text has size 1 and is a group of its own; empty text likewise (size 1); an empty table gives an empty
+Cases: null text counts as empty, and both have size 1 and are one group; an empty table gives an empty
 result; further columns of the input are ignored, whatever their names; repeated rows are placed like other rows of
 their group, and rows with equal or null ids get different slots.
 """
@@ -53,7 +53,7 @@ def shard(docs: DataFrame, shards: int = 16, parcels: int = 256, grain: int = 25
         (n_bytes(F.col("text")) + 1).alias("size"),
         n_words(F.col("text")).cast("long").alias("tokens"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64("text", F.col("text").isNull()).alias("group"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("group"),
         # Deals the rows of a group, also where they share an id; kept with the rows, so later reads agree.
         F.xxhash64(F.monotonically_increasing_id()).alias("deal"),
     )

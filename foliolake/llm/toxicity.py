@@ -10,7 +10,7 @@ of a group carry little weight by themselves.  ``groups`` (an option of :func:`l
 
 Cases: null and empty texts get the score of a text without features; without labelled rows of both classes every score
 is the base rate (just under 0.5 without any rows); rows whose label is null are
-not learned from, and of labels repeated for a document the greatest counts; columns other than ``doc_id`` and ``text``
+not learned from, of labels repeated for a document the greatest counts, and of its texts the first in order; columns other than ``doc_id`` and ``text``
 are no inputs; very long texts are scored whole; a row without ``doc_id`` is scored, and whether it is held out is null.
 """
 
@@ -165,7 +165,9 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 5000, **options) -
             bags = [" ".join(sorted(words(t.as_py()))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bags, pa.string()), b.column(2).cast(pa.int32())], ["doc_id", "words", "toxic"])
 
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")  # max_rows bound the broadcast side
+    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # max_rows bound the broadcast side
+    # One text stands for an id, so that max_rows bound what is gathered, too.
+    chosen = chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
     rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, words string, toxic int").collect()
     return fit([(r.words, r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.words))], **options)
 

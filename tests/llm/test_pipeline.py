@@ -55,7 +55,10 @@ def plain(rows, labels, items):
     for i, _, t in labels:
         if t is not None and zlib.crc32(str(i).encode()) % 5:
             toxic[i] = max(t, toxic.get(i, 0))
-    learned = sorted((r[0], sorted(set((r[1] or "").lower().split())), toxic[r[0]]) for r in rows if r[0] in toxic)
+    text_of = {}
+    for i, t, *_ in rows:
+        text_of[i] = min((x for x in (t, text_of.get(i)) if x is not None), default=None)
+    learned = sorted((i, sorted(set((t or "").lower().split())), toxic[i]) for i, t in text_of.items() if i in toxic)
     model = toxicity.fit([(w, t) for _, w, t in learned])
 
     def raw(text):
