@@ -18,17 +18,25 @@ CONTROL, CONTROL_AS = "\x02\x03", "ʿʾ"
 PREPOSITIONS = ("in", "of", "and", "the", "on", "at", "for", "from")
 WORD_CHAR = r"[\p{L}\p{N}_]"
 LINE_END = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
-EDGE = r"[\s\x1c-\x1f]"
+ODD_LINE_END = "[\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+#: All characters that are white space at the ends of a text.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{EDGE}+|{EDGE}+$", "")
+    """Looks at the ends of a text only."""
+    return F.btrim(c, F.lit(BLANKS))
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def lines(c: Column) -> Column:
     """Lines without their ends; no empty line after the last end."""
-    parts = F.split(c, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    parts = F.when(c.rlike(ODD_LINE_END), F.split(c, LINE_END, -1)).otherwise(F.split(c, "\n", -1))
+    return let(parts, lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p))
 
 
 def normalize_ligatures(c: Column) -> Column:
@@ -49,7 +57,7 @@ def fix_hyphenation(c: Column) -> Column:
 
 
 def join_broken_sentences(a: Column, b: Column) -> Column:
-    a, b = F.regexp_replace(a, f"(?U){EDGE}+$", ""), F.regexp_replace(b, f"(?U)^{EDGE}+", "")
+    a, b = F.rtrim(a, F.lit(BLANKS)), F.ltrim(b, F.lit(BLANKS))
     goes_on = ~a.rlike("[.!?:;\"']$") & b.rlike(r"^\p{IsLowercase}")
     return F.when((a == "") | (b == ""), F.concat(a, F.lit("\n"), b)).when(goes_on, F.concat(a, F.lit(" "), b)).otherwise(F.concat(a, F.lit("\n\n"), b))
 

@@ -17,8 +17,8 @@ from foliolake.functions import text as T
 
 def edge_lines(pages: DataFrame, check: int = 3) -> DataFrame:
     """The first and last ``check`` stripped lines of each page; those of short pages come twice."""
-    of_page = T.lines(T.strip(F.col("text")))
-    ends = F.concat(F.slice(of_page, 1, check), F.slice(of_page, F.greatest(F.size(of_page) - check + 1, F.lit(1)), check))
+    both = lambda of: F.concat(F.slice(of, F.lit(1), F.lit(check)), F.slice(of, F.greatest(F.size(of) - check + 1, F.lit(1)), F.lit(check)))
+    ends = T.let(T.lines(T.strip(F.col("text"))), both)
     return pages.select("doc", "page", F.explode(F.transform(ends, T.strip)).alias("line"))
 
 
@@ -37,12 +37,15 @@ def without_lines(pages: DataFrame, drop: DataFrame, most: int = 100_000, most_o
     Lists of up to ``most`` lines, ``most_of_doc`` in a document, are broadcast, and lines go where pages lie; longer lists
     meet the lines one by one.  Both ways give the same.
     """
-    listed = drop.select("doc", "line").distinct().groupBy("doc").agg(F.collect_set("line").alias("drop"))
-    total, longest = listed.agg(F.sum(F.size("drop")), F.max(F.size("drop"))).first()
-    if (total or 0) <= most and (longest or 0) <= most_of_doc:
+    rows = drop.select("doc", "line").distinct().limit(most + 1).collect()  # a bounded number of lines
+    of_doc: dict = {}
+    for r in rows:
+        of_doc.setdefault(r.doc, []).append(r.line)
+    if len(rows) <= most and max(map(len, of_doc.values()), default=0) <= most_of_doc:
+        listed = pages.sparkSession.createDataFrame(list(of_doc.items()), f"doc {pages.schema['doc'].dataType.simpleString()}, drop array<string>")
         met = pages.select("doc", "page", "text").join(F.broadcast(listed), "doc", "left").withColumn("raw", T.lines(F.coalesce("text", F.lit(""))))
         # Hardly any line is on the list, so each page first gets its own few.
-        own = met.withColumn("drop", F.coalesce(F.array_intersect(F.transform("raw", T.strip), "drop"), F.array().cast("array<string>")))
+        own = met.withColumn("drop", F.when(F.col("drop").isNotNull(), F.array_intersect(F.transform("raw", T.strip), "drop")))
         kept = F.when(F.size("drop") > 0, F.filter("raw", lambda line: ~F.array_contains(F.col("drop"), T.strip(line)))).otherwise(F.col("raw"))
         return own.select("doc", "page", F.array_join(kept, "\n").alias("text"))
     each = pages.select("doc", "page", F.posexplode(T.lines(F.col("text"))).alias("at", "raw")).withColumn("line", T.strip(F.col("raw")))
