@@ -232,6 +232,27 @@ def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.stack([a[new], b[new]], axis=1)
 
 
+class _Pairs:
+    """Pairs that are folded to each once whenever they have doubled, so that those met many times take little memory."""
+
+    def __init__(self, least: int = 500_000):
+        self.found: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.limit, self.least = 0, least, least
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.found.append((a, b))
+            self.held += len(a)
+        if self.held > self.limit:
+            self.once()
+
+    def once(self) -> np.ndarray:
+        both = _once(self.found)
+        self.found, self.held = [(both[:, 0], both[:, 1])], len(both)
+        self.limit = max(self.least, 2 * len(both))
+        return both
+
+
 def _dealt(pairs: np.ndarray, parts: int) -> pa.Table:
     """Rows ``part, pairs``: pairs packed by a hash of both ids, so that no id makes a part large."""
     with np.errstate(over="ignore"):
@@ -258,7 +279,7 @@ def unpacked(found: DataFrame) -> DataFrame:
 def first_round(parts: int, table):
     """Pairs of small tiles, pairs with the band heads of large ones, and the large tiles' tokens."""
     rows, _ = _tiles(table, POSTING)
-    token, size, found = rows["token"], rows["size"].astype(np.int64), []
+    token, size, found = rows["token"], rows["size"].astype(np.int64), _Pairs()
     starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
     large = np.repeat(counts > SMALL, counts)
@@ -268,7 +289,7 @@ def first_round(parts: int, table):
         fit = (token[i] == token[j]) & (5 * size[i] >= 4 * size[j]) & (rows["short"][i] == 1) if len(i) else np.zeros(0, bool)
         if not len(i) or not (token[i] == token[j]).any():
             break
-        found.append((rows["id"][i[fit]], rows["id"][j[fit]]))
+        found.add(rows["id"][i[fit]], rows["id"][j[fit]])
     for start, count in zip(starts[counts > SMALL].tolist(), counts[counts > SMALL].tolist()):
         head = start
         while head < start + count:
@@ -278,9 +299,9 @@ def first_round(parts: int, table):
             for i in np.argsort(band["id"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:HEADS]:
                 smaller = np.where(np.arange(len(band)) < i, band["short"], band["short"][i])
                 other = np.flatnonzero((smaller == 1) & (np.arange(len(band)) != i))
-                found.append((np.full(len(other), band["id"][i]), band["id"][other]))
+                found.add(np.full(len(other), band["id"][i]), band["id"][other])
             head = end
-    out = _dealt(_once(found), parts)
+    out = _dealt(found.once(), parts)
     if (counts > SMALL).any():
         out = pa.concat_tables([out, pa.table({"part": pa.nulls(1).cast(pa.int64()), "pairs": pa.nulls(1).cast(pa.binary()), "large": pa.array([_large(token[starts], counts).tobytes()], pa.binary())})])
     return out
@@ -298,7 +319,7 @@ def second_round(parts: int, table):
     Two sets that also share the token before meet in its tile: there in the first round or, if large, in this one.
     """
     rows, bits = _tiles(table, KNOWN)
-    tiles, size, found, held = rows["tile"], rows["size"].astype(np.int64), [], 0
+    tiles, size, found = rows["tile"], rows["size"].astype(np.int64), _Pairs()
     starts = np.flatnonzero(np.concatenate([[True], tiles[1:] != tiles[:-1]]))
     counts = np.diff(np.append(starts, len(rows)))
     for start, count in zip(starts.tolist(), counts.tolist()):
@@ -322,13 +343,8 @@ def second_round(parts: int, table):
                     other = members[at[k : k + 4096]]
                     most = most_shared(bits[start + i], s[i], matrix[at[k : k + 4096]], s[other])
                     other = other[100 * most >= 80 * (s[i] + s[other] - most)]
-                    if len(other):
-                        found.append((np.full(len(other), tile["id"][i]), tile["id"][other]))
-                        held += len(other)
-        if held > 2_000_000:  # fold what tiles have in common
-            both = _once(found)
-            found, held = [(both[:, 0], both[:, 1])], 0
-    return _dealt(_once(found), parts)
+                    found.add(np.full(len(other), tile["id"][i]), tile["id"][other])
+    return _dealt(found.once(), parts)
 
 
 def signature_bytes(n: int) -> int:
