@@ -8,7 +8,8 @@
 * In a bucket, representatives that share a prefix shingle form tiles, banded by set size: a pair is only looked at when
   sizes allow the similarity.  Small tiles give all such pairs.  A large tile first gives pairs with a few heads of each
   band only; once those are verified and joined to components, a second round looks at all pairs of large tiles that lie
-  in different components still, so groups of near copies are not expanded and no connection is lost.  Tiles of more than
+  in different components still, so groups of near copies are not expanded and no connection is lost; tiles within one
+  component are told before, and their postings not shipped again.  Tiles of more than
   ``TILE`` members are cut into blocks then, whose pairs are dealt over tasks.
 * Hashed bitmap signatures bound the overlap of a pair from above by bit counts, in the second round inside the tile;
   survivors meet as sorted arrays and are intersected exactly.
@@ -123,17 +124,19 @@ def prefixes(docs: DataFrame, classes: bytes, n: int) -> DataFrame:
 
 
 POSTING = np.dtype([("token", "<u8"), ("id", "<i8"), ("size", "<i4"), ("short", "<i4")])
-#: Of the second round; ``before`` is the token just before in the prefix, 0 for the first; ``tile`` the token, or of a tile in blocks a pair of them, of which ``side`` 1 and 2 are to meet (0: one block); ``cut`` is 1 for tiles in blocks.
-KNOWN = np.dtype([*POSTING.descr, ("component", "<i8"), ("before", "<u8"), ("tile", "<u8"), ("side", "<i2"), ("cut", "<i2")])
+#: Of the second round; ``before`` is the token just before in the prefix, 0 for the first; ``tile`` the token, or of a tile in blocks a pair of them, of which ``side`` 1 and 2 are to meet (0: one block); ``cut`` is 1 for tiles in blocks; ``of`` is the place of the signature.
+KNOWN = np.dtype([*POSTING.descr, ("component", "<i8"), ("before", "<u8"), ("tile", "<u8"), ("side", "<i2"), ("cut", "<i2"), ("of", "<i4")])
 #: A large tile's token and its members.
 LARGE = np.dtype([("token", "<u8"), ("n", "<i8")])
+#: A tile's token, its members, and the least and the greatest of their components.
+SPAN = np.dtype([*LARGE.descr, ("low", "<i8"), ("high", "<i8")])
 
 
-def in_blocks(rows: np.ndarray, tiles: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Postings of tiles in ``tiles`` (sorted by token) once for each pair of blocks that theirs is part of, and where they come from."""
+def in_blocks(rows: np.ndarray, tiles: np.ndarray, block: int) -> np.ndarray:
+    """Postings of tiles in ``tiles`` (sorted by token) once for each pair of blocks that theirs is part of."""
     rows["tile"] = rows["token"]
     if not len(tiles) or not len(rows):
-        return rows, np.arange(len(rows))
+        return rows
     at = np.minimum(np.searchsorted(tiles["token"], rows["token"]), len(tiles) - 1)
     cut = np.where(tiles["token"][at] == rows["token"], -(-tiles["n"][at] // block), 1)
     of = np.repeat(np.arange(len(rows)), cut)
@@ -145,14 +148,14 @@ def in_blocks(rows: np.ndarray, tiles: np.ndarray, block: int) -> tuple[np.ndarr
         rows["cut"] = total > 1
         rows["side"] = np.where(low == high, 0, np.where(own == low, 1, 2))
         rows["tile"] ^= np.where(total > 1, (low * total + high + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
-    return rows, of
+    return rows
 
 
 def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles: np.ndarray | None = None, block: int = TILE) -> DataFrame:
     """``bucket, postings, signatures``: each task packs the postings of its rows by bucket.
 
-    With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along; ``tiles`` are
-    the tiles above ``block`` then.
+    With ``only``, a filter of tokens, the rows have a ``component`` and a ``signature``, which go along, the signature
+    once for a bucket and not with each posting; ``tiles`` are the tiles above ``block`` then.
     """
 
     kind = POSTING if only is None else KNOWN
@@ -167,7 +170,11 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles:
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
-            along = [b"".join([bits[k] for k in part]) for part in np.split(order, cuts)] if bits else [None] * (len(cuts) + 1)
+            along = []
+            for part in np.split(rows, cuts):  # views of rows
+                if only is not None:
+                    of, part["of"] = np.unique(part["of"], return_inverse=True)
+                along.append(None if only is None else b"".join([bits[k] for k in of]))
             return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), pa.array([p.tobytes() for p in np.split(rows, cuts)], pa.binary()), pa.array(along, pa.binary())], ["bucket", "postings", "signatures"])
 
         for b in batches:
@@ -180,9 +187,11 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles:
                 if keep is not None:
                     rows["component"] = b.column("component")[k].as_py()
                     rows["before"][1:] = tokens[:-1]
-                    rows, _ = in_blocks(rows[keep.has(tokens)], tiles, block)
-                    bits += [b.column("signature")[k].as_py()] * len(rows)
-                    size += len(rows) * len(bits[-1]) if len(rows) else 0
+                    rows = in_blocks(rows[keep.has(tokens)], tiles, block)
+                    if len(rows):
+                        rows["of"] = len(bits)
+                        bits.append(b.column("signature")[k].as_py())
+                        size += min(len(rows), buckets) * len(bits[-1])
                 if len(rows):
                     held.append(rows)
                     size += rows.nbytes
@@ -195,6 +204,62 @@ def bucketed(prefix: DataFrame, buckets: int, only: bytes | None = None, tiles:
     return prefix.mapInArrow(run, "bucket long, postings binary, signatures binary")
 
 
+def _spans(rows: np.ndarray) -> np.ndarray:
+    """SPAN rows folded to one for each token."""
+    if not len(rows):
+        return rows
+    rows = rows[np.argsort(rows["token"], kind="stable")]
+    starts = np.flatnonzero(np.concatenate([[True], rows["token"][1:] != rows["token"][:-1]]))
+    out = rows[starts]
+    out["n"], out["low"], out["high"] = (f.reduceat(rows[c], starts) for f, c in ((np.add, "n"), (np.minimum, "low"), (np.maximum, "high")))
+    return out
+
+
+def apart(known: DataFrame, buckets: int, only: bytes) -> DataFrame:
+    """``large``: packed LARGE rows of the large tiles whose members lie in different components, the only ones that the second round has to read.
+
+    Each task hands on one row for each token that it holds, so a tile of any size costs a task one row.
+    """
+
+    def run(batches):
+        def flush():
+            rows = _spans(np.concatenate(held))
+            bucket = (rows["token"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            return pa.RecordBatch.from_arrays([pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), pa.array([p.tobytes() for p in np.split(rows, cuts)], pa.binary())], ["bucket", "spans"])
+
+        keep, held, size = Filter(only), [], 0
+        for b in batches:
+            for tokens, component in zip(b.column(0), b.column(1).to_pylist()):
+                tokens = np.frombuffer(tokens.as_py(), np.uint64)
+                tokens = tokens[keep.has(tokens)]
+                if not len(tokens):
+                    continue
+                rows = np.zeros(len(tokens), dtype=SPAN)
+                rows["token"], rows["n"], rows["low"], rows["high"] = tokens, 1, component, component
+                held.append(rows)
+                size += rows.nbytes
+                if size > FLUSH_BYTES:
+                    held = [_spans(np.concatenate(held))]
+                    size = held[0].nbytes
+                    if size > FLUSH_BYTES // 2:
+                        yield flush()
+                        held, size = [], 0
+        if held:
+            yield flush()
+
+    def fold(key, table):
+        rows = _spans(np.concatenate([np.frombuffer(x.as_py(), SPAN) for x in table.column("spans")]))
+        rows = rows[(rows["n"] > SMALL) & (rows["low"] < rows["high"])]
+        out = np.zeros(len(rows), dtype=LARGE)
+        out["token"], out["n"] = rows["token"], rows["n"]
+        return pa.table({"large": pa.array([out.tobytes()] if len(out) else [], pa.binary())})
+
+    return known.select("prefix", "component").mapInArrow(run, "bucket long, spans binary").groupBy("bucket").applyInArrow(fold, "large binary")
+
+
 def holding(prefix: DataFrame, only: bytes) -> DataFrame:
     """``id`` of the documents with a token of the filter in their prefix."""
 
@@ -207,16 +272,17 @@ def holding(prefix: DataFrame, only: bytes) -> DataFrame:
 
 
 def _tiles(table, kind: np.dtype):
-    """The postings of a bucket, those of one tile together and by size, and their signatures (or None)."""
-    rows = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("postings")])
-    order = np.lexsort((rows["id"], rows["size"], rows["tile" if kind is KNOWN else "token"]))
-    bits = None
-    if table.column("signatures").null_count == 0:
-        data = np.frombuffer(b"".join(x.as_py() for x in table.column("signatures")), np.uint8)
-        ends = np.cumsum([signature_bytes(n) for n in rows["size"].tolist()])
-        bits = np.split(data, ends[:-1])
-        bits = [bits[k] for k in order]
-    return rows[order], bits
+    """The postings of a bucket, those of one tile together and by size, and the signatures that their ``of`` counts (none without)."""
+    parts, bits = [np.frombuffer(x.as_py(), kind) for x in table.column("postings")], []
+    if kind is KNOWN:
+        for k, packed in enumerate(table.column("signatures")):
+            _, first = np.unique(parts[k]["of"], return_index=True)
+            ends = np.cumsum([signature_bytes(n) for n in parts[k]["size"][first].tolist()])
+            parts[k] = parts[k].copy()
+            parts[k]["of"] += len(bits)
+            bits += np.split(np.frombuffer(packed.as_py(), np.uint8), ends[:-1])
+    rows = np.concatenate(parts)
+    return rows[np.lexsort((rows["id"], rows["size"], rows["tile" if kind is KNOWN else "token"]))], bits
 
 
 def _once(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -332,7 +398,7 @@ def second_round(parts: int, table):
         ends = np.searchsorted(s * 4, s * 5, side="right")
         width = np.array([signature_bytes(n) for n in s])
         # A band's signatures have at most two sizes; each size as a matrix.
-        stacked = {w: (np.flatnonzero(width == w), np.stack([bits[start + k] for k in np.flatnonzero(width == w)])) for w in np.unique(width)}
+        stacked = {w: (np.flatnonzero(width == w), np.stack([bits[k] for k in tile["of"][width == w]])) for w in np.unique(width)}
         for i in np.flatnonzero(tile["short"] == 1):
             for w, (members, matrix) in stacked.items():
                 low, high = np.searchsorted(members, [i + 1, ends[i]])
@@ -341,15 +407,15 @@ def second_round(parts: int, table):
                 at = low + np.flatnonzero(apart & ((tile["before"][near] != tile["before"][i]) | (tile["before"][i] == 0)))
                 for k in range(0, len(at), 4096):
                     other = members[at[k : k + 4096]]
-                    most = most_shared(bits[start + i], s[i], matrix[at[k : k + 4096]], s[other])
+                    most = most_shared(bits[tile["of"][i]], s[i], matrix[at[k : k + 4096]], s[other])
                     other = other[100 * most >= 80 * (s[i] + s[other] - most)]
                     found.add(np.full(len(other), tile["id"][i]), tile["id"][other])
     return _dealt(found.once(), parts)
 
 
 def signature_bytes(n: int) -> int:
-    """At least four bits an element, a power of two."""
-    return 1 << max(3, int(4 * n - 1).bit_length() - 3)
+    """At least four bits an element up to 32 kB, a power of two."""
+    return 1 << min(15, max(3, int(4 * n - 1).bit_length() - 3))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -432,6 +498,19 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     return links
 
 
+def gathered(packed: DataFrame, block: int) -> tuple[bytes | None, np.ndarray, int]:
+    """Of the LARGE rows in ``large``: a filter of the tokens (None without rows), the tiles above a block by token, and the block's members."""
+    tokens, tiles, any_ = Filter(), np.zeros(0, LARGE), False
+    for r in packed.select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
+        one = np.frombuffer(bytes(r.large), LARGE)
+        tokens.add(one["token"])
+        tiles, any_ = np.concatenate([tiles, one[one["n"] > block]]), True
+        while len(tiles) > CUT:
+            block *= 2
+            tiles = tiles[tiles["n"] > block]
+    return tokens.packed() if any_ else None, np.sort(tiles, order="token"), block
+
+
 def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20, tile: int = TILE) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
@@ -455,29 +534,25 @@ def similar(docs: DataFrame, n: int = 5, bucket_bytes: int = 18 << 20, tile: int
 
     first = written(met(bucketed(prefix, buckets), first_round), "tiles")
     pairs = written(unpacked(first), "pairs")
-    large, tiles, block, any_large = Filter(), np.zeros(0, LARGE), tile, False
-    for r in first.filter("large IS NOT NULL").select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
-        one = np.frombuffer(bytes(r.large), LARGE)
-        large.add(one["token"])
-        tiles, any_large = np.concatenate([tiles, one[one["n"] > block]]), True
-        while len(tiles) > CUT:
-            block *= 2
-            tiles = tiles[tiles["n"] > block]
-    tiles = np.sort(tiles, order="token")
+    large, _, _ = gathered(first.filter("large IS NOT NULL"), tile)
     signatures = written(sets_of(docs, ids_of(pairs), n, tokens=False), "signatures")
     allowed = written(bounded(pairs, signatures), "pairs")
     links = verified(allowed, docs, n).unionByName(of_several)
     found = components(links)
-    if any_large:
-        only = large.packed()
-        more_signatures = written(sets_of(docs, holding(prefix, only), n, tokens=False), "signatures")
-        known = prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        known = known.join(more_signatures.select(F.col("id").alias("doc_id"), "size", F.col("data").alias("signature")), ["doc_id", "size"]).dropDuplicates(["doc_id", "size", "prefix", "signature"])
-        more = written(unpacked(met(bucketed(known, buckets, only, tiles, block), second_round)).join(pairs, ["a", "b"], "left_anti"), "pairs")
-        again = verified(more, docs, n)
-        if not again.isEmpty():
-            found = components(links.unionByName(again))
-        for table in (more_signatures, more):
+    if large:
+        known = written(prefix.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "known")
+        spans = written(apart(known, buckets, large), "apart")
+        only, tiles, block = gathered(spans, tile)
+        if only:
+            more_signatures = written(sets_of(docs, holding(known, only), n, tokens=False), "signatures")
+            signed = known.join(more_signatures.select(F.col("id").alias("doc_id"), "size", F.col("data").alias("signature")), ["doc_id", "size"]).dropDuplicates(["doc_id", "size", "prefix", "signature"])
+            more = written(unpacked(met(bucketed(signed, buckets, only, tiles, block), second_round)).join(pairs, ["a", "b"], "left_anti"), "pairs")
+            again = verified(more, docs, n)
+            if not again.isEmpty():
+                found = components(links.unionByName(again))
+            for table in (more_signatures, more):
+                discard(table)
+        for table in (known, spans):
             discard(table)
     for table in (first, pairs, signatures, allowed, prefix):
         discard(table)

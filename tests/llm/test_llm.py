@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliolake.llm import decontam, embed_dedup, jaccard, packing, secrets, sharding, tokens, toxicity, url_filter, warc
+from foliolake.llm.common import Filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, head string"
 
@@ -318,6 +319,24 @@ def test_jaccard_against_all_pairs(spark, tile):
     assert sorted(got) == plain_components(texts, range(len(texts)))
 
 
+@pytest.mark.parametrize("tile", [jaccard.TILE, 50])
+def test_jaccard_of_sliding_windows(spark, tile):
+    """Tiles of 200 members, whose heads are too far from many members to link them in the first round."""
+    w = [f"v{k}" for k in range(520)]
+    texts = [" ".join(w[i : i + 200]) for i in range(320)]
+    got = [tuple(r) for r in jaccard.similar(frame(spark, texts), tile=tile).collect()]
+    assert sorted(got) == plain_components(texts, range(len(texts)))
+
+
+def test_tiles_within_one_component_are_not_read_again(spark):
+    pack = lambda *tokens: np.array(tokens, np.uint64).tobytes()
+    wanted = Filter()
+    wanted.add(np.array([1, 2, 3], np.uint64))
+    known = spark.createDataFrame([(pack(1, 2, 3, 4), 5)] * 20 + [(pack(3), 6), (pack(4), 6)], "prefix binary, component long").repartition(3)
+    rows = jaccard.apart(known, 4, wanted.packed()).collect()
+    assert [t for r in rows for t in np.frombuffer(bytes(r.large), jaccard.LARGE).tolist()] == [(3, 21)]
+
+
 def test_jaccard_with_different_texts_of_one_id(spark):
     a, b, c = prose(40), prose(40), prose(40)
     texts, ids = [a, b, c, f"{a} x", f"{b} x", f"{c} x", b, c], [5, 5, 7, 1, 2, 3, 9, 9]
