@@ -40,6 +40,8 @@ CELLS, BLOCK, SMALL, HEADS = 1 << 20, 1 << 15, 16, 8
 TILE, CUT = 4096, 1 << 20
 #: Postings, with their signatures, that a task holds before it hands them on.
 FLUSH_BYTES = 16 << 20
+#: Bytes of large tiles that the driver takes at a time, about.
+GATHER_BYTES = 4 << 20
 
 
 def shingle_set(words: Words, text: str | None, n: int = 5) -> np.ndarray:
@@ -501,7 +503,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 def gathered(packed: DataFrame, block: int) -> tuple[bytes | None, np.ndarray, int]:
     """Of the LARGE rows in ``large``: a filter of the tokens (None without rows), the tiles above a block by token, and the block's members."""
     tokens, tiles, any_ = Filter(), np.zeros(0, LARGE), False
-    for r in packed.select("large").toLocalIterator():  # a bucket's at a time, into a filter of fixed size
+    size = packed.agg(F.sum(F.octet_length("large"))).first()[0] or 0
+    # Some megabytes at a time, into a filter of fixed size; a job for each bucket would load the driver.
+    for r in packed.select("large").coalesce(1 + size // GATHER_BYTES).toLocalIterator():
         one = np.frombuffer(bytes(r.large), LARGE)
         tokens.add(one["token"])
         tiles, any_ = np.concatenate([tiles, one[one["n"] > block]]), True
