@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +125,8 @@ def parse_index(indexes: DataFrame) -> DataFrame:
     """
 
     def run(frames):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         for f in frames:
             rows = [r for v, t in zip(f["volume"], f["text"]) for r in _entries(v, t or "")]
             yield pd.DataFrame(rows, columns=["volume", "entry", "sub", "term", "refs", "see_also", "raw"]).astype({"sub": "Int32"})

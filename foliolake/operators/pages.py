@@ -8,7 +8,6 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +65,9 @@ def fuzzy_dedup(pages: DataFrame, same: float = 0.85, unsure: float = 0.7, ask:
     work here; it is a book, not a corpus.  Between ``unsure`` and ``same``, ``ask`` decides where it is given.
     """
 
-    def fold(of_doc: pd.DataFrame) -> pd.DataFrame:
+    def fold(of_doc):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         kept: list[list] = []
         for doc, page, text in of_doc.sort_values("page")[["doc", "page", "text"]].itertuples(index=False):
             ratio = difflib.SequenceMatcher(None, kept[-1][2], text).ratio() if kept else 0.0

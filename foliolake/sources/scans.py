@@ -14,7 +14,6 @@ import importlib.util
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +64,8 @@ def pdf_pages(files: DataFrame, parser: Callable = parse_pdf, default_height: fl
     """A row per page of PDFs (``path, content``), numbered from 1."""
 
     def run(frames):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
                 rows = [(path, i, text, "text", i + 1, float(height or default_height), spans) for i, (text, height, spans) in enumerate(parser(bytes(content)))]
@@ -84,6 +85,8 @@ def auto_pages(files: DataFrame, parser: Callable, rasterise: Callable, engine:
     digital = pages.is_digital(parsed, least_chars, most_odd).filter("digital").select("doc")
 
     def run(frames):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         for f in frames:
             for path, content in zip(f["path"], f["content"]):
                 found = engine(list(rasterise(bytes(content))))
@@ -118,6 +121,8 @@ def shapes(images: DataFrame, decode: Callable = decode_image, sample: int = 8)
     """
 
     def sizes(frames):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         for f in frames:
             rows = []
             for folder, content in zip(f["folder"], f["content"]):
@@ -141,7 +146,9 @@ def shapes(images: DataFrame, decode: Callable = decode_image, sample: int = 8)
     drawn = drawn.filter(F.array_contains(picked, F.col("place").cast("long"))).select("folder", "place")
     chosen = images.join(drawn, ["folder", "place"], "left_semi")
 
-    def bounds(frame: pd.DataFrame) -> pd.DataFrame:
+    def bounds(frame):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         frame, box, columns = frame.sort_values("place"), None, None
         try:
             stack = [decode(bytes(c)) for c in frame["content"]]
@@ -241,6 +248,8 @@ def screenshot_pages(images: DataFrame, known: DataFrame, engine: Callable, deco
     """
 
     def run(frames):
+        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
+
         for f in frames:
             rows, items = [], []
             for folder, place, content, bounds in zip(f["folder"], f["place"], f["content"], f["bounds"]):
