@@ -140,13 +140,25 @@ def fit(rows: list[tuple[list[str], int]], swap_penalty: float = 1.0, ridge: flo
     w = np.zeros(x.shape[1])
     w[-1] = np.log(rate / (1 - rate))
     scale = n / 1000  # ridge is stated for a thousand rows
-    for _ in range(25):  # Newton's steps
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+
+    def loss(w) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() / scale + w @ penalty @ w / 2)
+
+    now = loss(w)
+    for _ in range(100):
+        # Newton's steps, halved until the loss falls enough: whole ones run away where a feature tells the classes apart.
+        p = np.exp(-np.logaddexp(0, -(x @ w)))
         gradient = x.T @ (p - y) / scale + penalty @ w
         hessian = (x.T * (p * (1 - p))) @ x / scale + penalty
         step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        falls, part = float(gradient @ step), 1.0
+        while part > 1e-10 and not (after := loss(w - part * step)) <= now - part * falls / 4:
+            part /= 2
+        if part <= 1e-10:
+            break  # no step lowers the loss any more
+        w, now = w - part * step, after
+        if np.abs(part * step).max() < 1e-6:
             break
     return Model({names[f]: float(w[i]) for i, f in enumerate(chosen)}, float(w[-1]))
 

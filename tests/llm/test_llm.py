@@ -233,6 +233,18 @@ def test_url_rules_and_model(spark):
     assert rows[7].score == pytest.approx(want, abs=1e-9)
 
 
+def test_toxicity_fit_on_copies():
+    """Many copies of one clean text beside toxic texts that a few words tell apart."""
+    rng = np.random.default_rng(1)
+    bad = ["idiot", "moron", "loser", "trash", "clown", "scum", "stupid", "pathetic"]
+    rows = [(["same", "text"], 0)] * 300
+    for i in range(440):
+        rows.append((sorted({*rng.choice(WORDS[:300], 20).tolist(), *(rng.choice(bad, 3).tolist() if i < 40 else [])}), int(i < 40)))
+    model = toxicity.fit(rows)
+    assert max(model.raw(ws) for ws, toxic in rows if not toxic) < 0 < min(model.raw(ws) for ws, toxic in rows if toxic)
+    assert len({model.score(" ".join(ws)) for ws, _ in rows}) > 40
+
+
 def test_toxicity(spark):
     rows = [(["fine", "day", f"u{i}"], 0) for i in range(200)] + [(["awful", "scum", f"v{i}"], 1) for i in range(40)] + [(["women", "scum"], 1)] * 20
     plain, fair = toxicity.fit(rows, swap_penalty=0.0), toxicity.fit(rows, swap_penalty=50.0)
