@@ -133,14 +133,23 @@ def with_items(of: DataFrame, plain: DataFrame) -> DataFrame:
     return plain.join(changed, "doc", "left_anti").unionByName(rest)
 
 
-def split(lines: DataFrame, chapters: DataFrame) -> DataFrame:
-    """The text of each chapter (``doc, start, end, title`` and maybe ``page_start, page_end``) with its place: ``doc, dir, file, text``."""
+def split(lines: DataFrame, chapters: DataFrame, block: int = 64) -> DataFrame:
+    """The text of each chapter (``doc, start, end, title`` and maybe ``page_start, page_end``) with its place: ``doc, dir, file, text``.
+
+    Chapters are cut at multiples of ``block`` lines, so that a line meets the chapters of its block and not all of its book.
+    """
     pages = {c: F.col(c) if c in chapters.columns else F.lit(None).cast("int") for c in ("page_start", "page_end")}
     nth = F.row_number().over(Window.partitionBy("doc").orderBy("start", "title"))
     named = chapters.withColumns(pages).withColumn("nth", nth).withColumn("slug", T.slugify(F.col("title")))
     prefix = F.format_string("%03d_", F.col("nth") * 10)
     of_pages = F.when(F.col("page_start").isNotNull() & F.col("page_end").isNotNull(), F.format_string("pp_%d_%d_", "page_start", "page_end")).otherwise("")
     named = named.select("doc", "nth", "start", "end", F.concat(prefix, of_pages, "slug").alias("dir"), F.concat(F.lit("chapter_01_"), "slug", F.lit(".md")).alias("file"))
-    held = named.join(lines.select("doc", "line_no", "line"), "doc").filter((F.col("line_no") >= F.col("start")) & (F.col("end").isNull() | (F.col("line_no") < F.col("end"))))
+    of = lines.select("doc", "line_no", "line")
+    ends = of.groupBy("doc").agg((F.max("line_no") + 1).alias("length"))
+    # What lies outside the book holds no lines.
+    first, past = F.greatest("start", F.lit(0)), F.least(F.coalesce("end", "length"), "length")
+    cut = named.join(ends, "doc").withColumns({"start": first, "end": past}).filter("start < end")
+    cut = cut.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)))).drop("length")
+    held = cut.join(of.withColumn("block", F.floor(F.col("line_no") / block)), ["doc", "block"]).filter((F.col("line_no") >= F.col("start")) & (F.col("line_no") < F.col("end")))
     text = F.array_join(F.array_sort(F.collect_list(F.struct("line_no", "line")))["line"], "\n")
     return held.groupBy("doc", "nth", "dir", "file").agg(text.alias("text")).select("doc", "dir", "file", "text")

@@ -85,3 +85,21 @@ def test_split_texts_and_places(spark):
     lines = lines_of(spark, d="front\nPreface\nhello\n\nPART 1 The Sea\nAT NIGHT\nbody")
     rows = splitter.split(lines, splitter.boundaries(lines)).orderBy("dir").collect()
     assert [(r.dir, r.file, r.text) for r in rows] == [("010_preface", "chapter_01_preface.md", "Preface\nhello\n"), ("020_part_1_the_sea_at_night", "chapter_01_part_1_the_sea_at_night.md", "PART 1 The Sea\nAT NIGHT\nbody")]
+
+
+def test_split_of_many_chapters(spark, tmp_path):
+    """Overlapping chapters of a long book against a plain version, and the query of more than 99 chapters against its SQL."""
+    import duckdb
+    import __spark_entry__ as entry
+
+    lines = lines_of(spark, d="\n".join(f"line {i}" for i in range(500)))
+    places = [(0, 3), (3, 130), (64, 128), (100, None), (128, 128), (480, 900)]
+    chapters = spark.createDataFrame([("d", s, e, f"At {i}") for i, (s, e) in enumerate(places)], "doc string, start long, end long, title string")
+    got = {r.file: r.text for r in splitter.split(lines, chapters).collect()}
+    assert got == {f"chapter_01_at_{i}.md": "\n".join(f"line {n}" for n in range(s, min(e or 500, 500))) for i, (s, e) in enumerate(places) if s != e}
+    spark.range(3000).selectExpr("id AS o_orderkey", "0L AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = {tuple(r) for r in entry.queries()["k05_split_texts"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+        want = set(c.sql(entry.oracle_sql()["k05_split_texts"]).fetchall())
+    assert len(want) > 99 and rows == want
