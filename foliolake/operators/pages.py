@@ -8,6 +8,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,19 +115,48 @@ def rejoin_lines(pages: DataFrame, short: int = 15, least: int = 3) -> DataFrame
 
     In a run of neighbouring short lines the first that ends no sentence starts the joined line; it reaches to the run's
     end and needs ``least`` lines.  A later start in the same run would only be shorter, so each run is decided once.
+    Pages are read one by one where they lie; those without a text are left out.
     """
-    each = pages.select("doc", "page", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("bare", T.strip(F.col("raw")))
-    fits = (F.length("bare") < short) & T.is_prose_fragment(F.col("bare"))
-    each = each.withColumn("fits", fits).withColumn("run", F.sum((~F.col("fits")).cast("int")).over(Window.partitionBy("doc", "page").orderBy("at")))
-    in_run = Window.partitionBy("doc", "page", "run")
-    start = F.min(F.when(F.col("fits") & ~F.col("bare").rlike("[.!?:;]$"), F.col("at"))).over(in_run)
-    each = each.withColumn("start", start).withColumn("end", F.max("at").over(in_run))
-    joined = F.coalesce(F.col("fits") & (F.col("at") >= F.col("start")) & (F.col("end") - F.col("start") + 1 >= least), F.lit(False))
-    each = each.withColumn("joined", joined)
-    # A joined line goes on after a space, any other starts a line.
-    piece = F.when(F.col("joined"), F.concat(F.when(F.col("at") > F.col("start"), " ").otherwise("\n"), F.col("bare"))).otherwise(F.concat(F.lit("\n"), F.col("raw")))
-    text = F.array_join(F.array_sort(F.collect_list(F.struct("at", piece.alias("piece"))))["piece"], "")
-    return each.groupBy("doc", "page").agg(F.substring(text, 2, (1 << 31) - 1).alias("text"))
+    signs, ends = set("=+×÷∑∫√≤≥≠±<>"), tuple(".!?:;")
+
+    def fits(bare: str) -> bool:
+        return 1 < len(bare) < short and signs.isdisjoint(bare) and any(map(str.isalpha, bare))
+
+    def rejoined(text: str, known: dict[str, bool]) -> str:
+        out: list[str] = []
+        run: list[tuple[str, str]] = []
+
+        def close() -> None:
+            start = next((i for i, (_, bare) in enumerate(run) if not bare.endswith(ends)), len(run))
+            if len(run) - start >= least:
+                out.extend(raw for raw, _ in run[:start])
+                out.append(" ".join(bare for _, bare in run[start:]))
+            else:
+                out.extend(raw for raw, _ in run)
+            run.clear()
+
+        for raw in text.split("\n"):
+            bare = raw.strip(T.BLANKS)
+            fit = known.get(bare)
+            if fit is None:
+                fit = fits(bare)
+                if len(bare) < short and len(known) < 500_000:
+                    known[bare] = fit
+            if fit:
+                run.append((raw, bare))
+            else:
+                close()
+                out.append(raw)
+        close()
+        return "\n".join(out)
+
+    def rejoin(batches):
+        known: dict[str, bool] = {}
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([rejoined(t.as_py(), known) for t in b.column(2)], b.schema.field(2).type)], ["doc", "page", "text"])
+
+    of = pages.select("doc", "page", "text").filter("text IS NOT NULL")
+    return of.mapInArrow(rejoin, of.schema)
 
 
 def merge_footnotes(blocks: DataFrame) -> DataFrame:

@@ -138,6 +138,16 @@ def test_rejoined_lines(spark):
     assert [r.text for r in pages.rejoin_lines(frame).orderBy("page").collect()] == list(cases.values())
 
 
+def test_rejoined_lines_stay_in_place(spark):
+    """Each page is read where it lies: words are not dealt out as rows."""
+    from foliolake.operators import pages
+
+    frame = spark.createDataFrame([("d", (1, 2), "aa\nbb\ncc"), ("d", (1, 3), None), ("d", (1, 1), "")], "doc string, page struct<a:int,b:int>, text string")
+    joined = pages.rejoin_lines(frame)
+    assert [(tuple(r.page), r.text) for r in joined.orderBy("page").collect()] == [((1, 1), ""), ((1, 2), "aa bb cc")]
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_command_line_search(spark, tmp_path, capsys):
     from foliolake import __main__ as command
 
