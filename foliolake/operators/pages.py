@@ -59,28 +59,59 @@ def first_of_equal(pages: DataFrame) -> DataFrame:
     return pages.groupBy("doc", F.sha2("text", 256).alias("content_hash")).agg(F.min("page").alias("page"))
 
 
+def _may_match(a: str, b: str, least: float, most: int = 100_000) -> bool:
+    """Whether difflib's ratio of two texts can reach ``least``.
+
+    The blocks it matches are a common subsequence, so their length is at most that of the longest one, which is counted
+    here with a bit a character of ``a``.  Texts of more than ``most`` characters are not ruled out.
+    """
+    need = least * (len(a) + len(b)) / 2 - 1e-6
+    if min(len(a), len(b)) < need:
+        return False
+    if max(len(a), len(b)) > most:
+        return True
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    whole = rest = (1 << len(a)) - 1
+    for i, c in enumerate(b):
+        held = rest & at.get(c, 0)
+        rest = (rest + held | rest - held) & whole
+        if not i & 63 and len(a) - rest.bit_count() + len(b) - 1 - i < need:
+            return False
+    return len(a) - rest.bit_count() >= need
+
+
 def fuzzy_dedup(pages: DataFrame, same: float = 0.85, unsure: float = 0.7, ask: Callable[[str, str], bool] | None = None) -> DataFrame:
     """Pages that differ enough from the last kept page of their document; of two alike the page with the longer text stays.
 
     Each decision depends on the one before, so the pages of a document are folded in order.  A document is the unit of
-    work here; it is a book, not a corpus.  Between ``unsure`` and ``same``, ``ask`` decides where it is given.
+    work here; it is a book, not a corpus.  Between ``unsure`` and ``same``, ``ask`` decides where it is given.  Texts are
+    only compared in full where their common characters leave it open whether they are alike.
     """
+    lowest = same if ask is None else min(same, unsure)
+
+    def alike(a: str, b: str) -> bool:
+        ratio = 1.0 if a == b else difflib.SequenceMatcher(None, a, b).ratio() if _may_match(a, b, lowest) else 0.0
+        return ratio >= same or (ratio >= unsure and ask is not None and ask(a, b))
 
-    def fold(of_doc):
-        import pandas as pd  # on the executors only, which keeps it out of the driver's memory
-
-        kept: list[list] = []
-        for doc, page, text in of_doc.sort_values("page")[["doc", "page", "text"]].itertuples(index=False):
-            ratio = difflib.SequenceMatcher(None, kept[-1][2], text).ratio() if kept else 0.0
-            if ratio >= same or (kept and ratio >= unsure and ask is not None and ask(kept[-1][2], text)):
-                if len(text) > len(kept[-1][2]):
-                    kept[-1] = [doc, page, text]
-                continue
-            kept.append([doc, page, text])
-        return pd.DataFrame(kept, columns=["doc", "page", "text"])
-
-    schema = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("doc", "page", "text"))
-    return pages.select("doc", "page", "text").na.fill({"text": ""}).groupBy("doc").applyInPandas(fold, schema)
+    def fold(batches):
+        kept: tuple | None = None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if kept is not None and kept[0] == row[0] and alike(kept[2], row[2]):
+                    kept = row if len(row[2]) > len(kept[2]) else kept
+                    continue
+                out += [kept] if kept is not None else []
+                kept = row
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out) if out else [()] * 3, b.schema)], schema=b.schema)
+        if kept is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(kept, b.schema)], schema=b.schema)
+
+    # A document lies in one partition, its pages one after another.
+    of = pages.select("doc", "page", "text").na.fill({"text": ""})
+    return of.repartition("doc").sortWithinPartitions("doc", F.asc_nulls_last("page"), "text").mapInArrow(fold, of.schema)
 
 
 def gaps(pages: DataFrame, number: str = "page", block: int = 4096) -> DataFrame:

@@ -148,6 +148,40 @@ def test_rejoined_lines_stay_in_place(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fuzzy_duplicates_against_plain_fold(spark):
+    """Pairs that are ruled out early are never alike, most unlike pairs are ruled out, and the fold is that of all ratios."""
+    import difflib
+    import random
+
+    from foliolake.operators import pages
+
+    rng = random.Random(5)
+    prose = lambda n: " ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 7))) for _ in range(n))
+    edited = lambda t, share: "".join(rng.choice("xyz ") if rng.random() < share else c for c in t)
+    rows, text = [], prose(40)
+    for i in range(240):
+        text = rng.choice([text, edited(text, rng.choice([0.02, 0.1, 0.16, 0.3])), text[: rng.randint(0, len(text))], prose(rng.randint(0, 80)), prose(40)])
+        rows.append((i // 12, i, text or None))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    pairs = [(a[2] or "", b[2] or "") for a, b in zip(rows, rows[1:])]
+    for least in (0.7, 0.85):
+        unlike = [p for p in pairs if ratio(*p) < least]
+        assert all(pages._may_match(*p, least) for p in pairs if ratio(*p) >= least)
+        assert sum(not pages._may_match(*p, least) for p in unlike) > len(unlike) / 2
+    for ask in (None, lambda a, b: len(a) % 2 == 0):
+        kept = []
+        for doc, page, text in rows:
+            text = text or ""
+            r = ratio(kept[-1][2], text) if kept and kept[-1][0] == doc else 0.0
+            if kept and kept[-1][0] == doc and (r >= 0.85 or (r >= 0.7 and ask is not None and ask(kept[-1][2], text))):
+                if len(text) > len(kept[-1][2]):
+                    kept[-1] = (doc, page, text)
+            else:
+                kept.append((doc, page, text))
+        frame = spark.createDataFrame(rows, "doc int, page int, text string").repartition(5)
+        assert [tuple(r) for r in pages.fuzzy_dedup(frame, ask=ask).orderBy("page").collect()] == kept
+
+
 def test_command_line_search(spark, tmp_path, capsys):
     from foliolake import __main__ as command
 
